@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jpeg, toxicity, unigram_count
+from . import bpe, exact_dedup, jpeg, mixing, simhash, toxicity, unigram_count
 from .common import read_table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), mixing.Target(evenness=0.95))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -23,6 +27,10 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.to_media(read_table(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, k=2)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -38,9 +46,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("toxic", F.col("expected_severity") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_jpeg_media, op8_exact_dedup, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_token_counts, op4_jpeg_media, op5_simhash, op8_exact_dedup, op9_bpe, op10_toxicity)}
 
 ORACLE_SQL = {
+    "op2_source_mixing": mixing.oracle(0.95),
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
