@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jpeg, mixing, simhash, toxicity, unigram_count
+from . import bpe, ctw, exact_dedup, jpeg, mixing, simhash, toxicity, unigram_count
 from .common import read_table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read_table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), mixing.Target(evenness=0.95))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("toxic", F.col("expected_severity") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_token_counts, op4_jpeg_media, op5_simhash, op8_exact_dedup, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_source_mixing, op3_token_counts, op4_jpeg_media, op5_simhash, op8_exact_dedup, op9_bpe, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.oracle(0.95),
