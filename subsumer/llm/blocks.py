@@ -41,7 +41,7 @@ def expand_sorted(data: bytes) -> np.ndarray:
 
 def squeeze_numbers(values: np.ndarray, kind: str) -> bytes:
     wide = np.ascontiguousarray(values.astype(kind))
-    return squeeze(np.ascontiguousarray(wide.view(np.uint8).reshape(len(wide), -1).T).tobytes())
+    return squeeze(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes())
 
 
 def expand_numbers(data: bytes, kind: str) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_store, ctw, exact_dedup, jpeg, mixing, simhash, toxicity, unigram_count
+from . import bpe, chunk_store, ctw, exact_dedup, jpeg, mixing, repeats, simhash, toxicity, unigram_count
 from .common import read_table
 
 
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, k=2)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = chunk_store.write_store(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return chunk_store.read_facts(spark, store)
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("toxic", F.col("expected_severity") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_source_mixing, op3_token_counts, op4_jpeg_media, op5_simhash, op7_chunk_store, op8_exact_dedup, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_source_mixing, op3_token_counts, op4_jpeg_media, op5_simhash, op6_repeats, op7_chunk_store, op8_exact_dedup, op9_bpe, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.oracle(0.95),
