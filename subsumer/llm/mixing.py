@@ -32,11 +32,13 @@ class Target:
     evenness: entropy of the weights as a fraction of log2(sources); the largest exponent that has
         it is taken.  max_repetition: most epochs of any source; the smallest exponent from 0 to 1
         that keeps to it is taken (1 if none does).  Exactly one of the two is given.
+    highest: exponents above it are not tried; 1 never sharpens the input's own shares.
     budget: tokens; "corpus": as many as the input has; "cover": the least that uses each text once.
     """
 
     evenness: float | None = None
     max_repetition: float | None = None
+    highest: float = HIGHEST
     budget: int | str = "corpus"
 
     def __post_init__(self):
@@ -56,7 +58,7 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> Column:
 def find_exponent(sources: DataFrame, total: int, target: Target) -> float:
     """sources: (source, tokens), tokens positive.  A job looks at 2**LEVELS - 1 exponents."""
     n = sources.count()
-    low, high, parts = 0.0, HIGHEST if target.evenness is not None else 1.0, 2**LEVELS
+    low, high, parts = 0.0, target.highest if target.evenness is not None else 1.0, 2**LEVELS
     share = F.col("tokens") / F.lit(float(total))
     for _ in range(ROUNDS):
         step = (high - low) / parts
@@ -102,7 +104,7 @@ def mix(
     pass the budget by part of a text.  carry: further columns of the input.
 
     A null source counts as the source "".  A source without a token has no share and is not
-    emitted; texts without tokens cost nothing.  Rows that repeat are texts of their own (told apart
+    emitted; texts without tokens cost nothing.  A carried column replaces an output of its name.  Rows that repeat are texts of their own (told apart
     by identifier only for the order, so ties share a position).  An empty table gives no rows.
     """
     carry = list(carry or [])
@@ -130,7 +132,8 @@ def mix(
     schedule = schedule.withColumn("_left", F.col("budget") - F.col("epoch") * F.col("tokens")).filter("_offset < _left")
     out = placed.join(schedule.select("source", "block", "epoch", "_offset", "_left"), ["source", "block"])
     out = out.withColumn("position", F.col("_offset") + F.col("_before")).filter("position < _left")
-    return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "position", *(F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)))
+    own_names = ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "position"]
+    return out.select(*(c for c in own_names if c not in carry), *(F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)))
 
 
 def oracle(evenness: float, seed: str = "mix") -> str:

@@ -211,3 +211,119 @@ def near_duplicates(docs: DataFrame, size: int = 3, k: int = 2, bands: int = 4,
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------------- near copies at a Jaccard similarity
+
+WIDE = 4  # words of a wide fingerprint
+TABLES, TABLE_BITS = 96, 24
+RUN = 32  # up to here all pairs of a run are candidates
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE * 64 bits, as 0 and 1, of a set of shingle hashes."""
+    ones = []
+    for k in range(WIDE):
+        x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(29)
+        ones.append(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32))
+    return (2 * np.concatenate(ones) > len(hashes)).astype(np.uint8)
+
+
+def table_pivots() -> np.ndarray:
+    """[table, place]: which single-bit pivots a table takes its coordinates from."""
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.permutation(64 * WIDE)[:TABLE_BITS] for _ in range(TABLES)])
+
+
+def _wide(size: int):
+    pivots, powers = table_pivots(), 1 << np.arange(TABLE_BITS, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
+            for begin in range(0, len(texts), 1000):
+                own = texts[begin : begin + 1000]
+                bits = np.stack([wide_fingerprint(np.unique(shingle_hashes(t, size))) for t in own])
+                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                keys = np.stack([(bits[:, p].astype(np.int64) * powers).sum(1) * TABLES + k for k, p in enumerate(pivots)], 1)
+                flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, TABLES, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(own)), *(pa.array(words[:, k]) for k in range(WIDE)), flat], ["node", *(f"w{k}" for k in range(WIDE)), "keys"])
+
+    return run
+
+
+def _run_pairs(batches):
+    """Candidates of each run of equal keys: all pairs of a short one, else each with the first and the RUN before it."""
+    key, run = None, []
+    for batch in batches:
+        a, b = [], []
+        for k, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != key:
+                key, run, first = k, [], node
+            if len(run) >= RUN:
+                a.append(first)
+                b.append(node)
+                run.pop(0)
+            a += run
+            b += [node] * len(run)
+            run.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _shingle_sets(size: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts linked by a Jaccard similarity of word-shingle sets of ``similarity`` or more.
+
+    SimHash here has 256 bits.  Candidates agree in the coordinates of TABLE_BITS single-bit pivots,
+    for one of TABLES choices of pivots; then their bits, then their exact similarity is compared.
+    Pairs that are already connected are not verified again.  Finding candidates is probabilistic
+    (about 0.85 of the pairs at 0.8, 0.97 at 0.85, over 0.99 from 0.9); no dissimilar pair is linked.
+
+    Returns (node long, component: smallest identifier of the group, stays boolean) for texts in a
+    group of two or more, where node is xxhash64(identifier, text): repeated rows share a node and a
+    fate.  One node of each group stays, the one with the smallest identifier (nulls last).
+    """
+    own = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("node", F.xxhash64("doc_id", "text"))
+    rows = own.select("node", lower_ascii(F.col("text")).alias("text"))
+    words = ", ".join(f"w{k} long" for k in range(WIDE))
+    wide = stage(rows.mapInArrow(_wide(size), f"node long, {words}, keys array<long>"), "wide")
+    keyed = wide.select(F.explode("keys").alias("key"), "node", "w0")
+    runs = keyed.repartition("key").sortWithinPartitions("key", "w0", "node").select("key", "node")
+    pairs = runs.mapInArrow(_run_pairs, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bits = wide.drop("keys").distinct()
+    left = bits.select(F.col("node").alias("a"), *(F.col(f"w{k}").alias(f"x{k}") for k in range(WIDE)))
+    right = bits.select(F.col("node").alias("b"), *(F.col(f"w{k}").alias(f"y{k}") for k in range(WIDE)))
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WIDE)), F.lit(0))
+    expected = 64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi  # bits apart, on average
+    limit = int(expected + 4 * np.sqrt(expected * (1 - expected / (64 * WIDE))))
+    near = stage(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= limit), "near")
+
+    def verified(some: DataFrame) -> DataFrame:
+        nodes = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+        sets = rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_shingle_sets(size), "node long, shingles array<long>")
+        both = some.join(sets.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
+        shared = F.size(F.array_intersect("s", "t"))
+        return stage(both.filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b"), "links")
+
+    best = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    first = verified(stage(best, "best"))
+    roots = components(first)
+    named = roots.union(roots.select("root", "root").distinct())
+    rest = near.select("a", "b").join(named.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+    rest = rest.filter("NOT (p <=> q AND p IS NOT NULL)").select("a", "b")
+    roots = components(first.union(verified(stage(rest, "rest"))))
+    members = roots.union(roots.select("root", "root").distinct())
+    ids = own.select("node", "doc_id").join(members, "node").distinct()
+    stay = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
+    keeper = ids.groupBy("root").agg(F.min(stay).alias("m"))
+    return ids.join(keeper, "root").select("node", F.col("m.doc_id").alias("component"), (F.col("node") == F.col("m.node")).alias("stays"))
