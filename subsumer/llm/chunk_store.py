@@ -263,7 +263,7 @@ def chunk_facts(store: Store, chunks: DataFrame) -> DataFrame:
 
 
 def _opened(spark: SparkSession, store: Store):
-    content = spark.read.parquet(f"{store.path}/content").filter("kind = 0")
+    content = spark.read.schema("kind int, name binary, body binary").parquet(f"{store.path}/content").filter("kind = 0")
     return content, spark.read.parquet(f"{store.path}/recipes")
 
 
