@@ -65,20 +65,20 @@ def layer_signatures(keys: list[DataFrame]) -> DataFrame:
     return K.signatures(K.value_groups(K.value_counts(reduce(DataFrame.union, keys))))
 
 
-def judged(arity: int, attrs: DataFrame, candidates: DataFrame, keys: list[DataFrame], config: DiscoveryConfig, began: float) -> Layer:
+def judged(arity: int, attrs: DataFrame, n_attributes: int, candidates: DataFrame, n_candidates: int, keys: list[DataFrame], config: DiscoveryConfig, began: float) -> Layer:
     """One pass over the data for the signatures; the rest is over attributes."""
     sigs = stage(layer_signatures(keys), f"signatures{arity}")
     stats = stage(K.attribute_stats(attrs, sigs), f"stats{arity}")
     counted = stage(V.violations(candidates, stats, K.overlaps(sigs), config), f"counted{arity}")
     held = V.valid(counted, config)
-    # a null mode may have let a candidate go already, so candidates are counted before
-    return Layer(arity, stats, counted, held, stats.count(), candidates.count(), held.count(), time.monotonic() - began)
+    return Layer(arity, stats, counted, held, n_attributes, n_candidates, held.count(), time.monotonic() - began)
 
 
 def first_layer(spark: SparkSession, relations: list[Relation], config: DiscoveryConfig) -> Layer:
     began = time.monotonic()
     attrs = attribute_catalog(spark, relations).select("attr_id", "rel_id", "cols")
-    return judged(1, attrs, C.unary_candidates(attrs), [K.unary_keys(r, config) for r in relations], config, began)
+    n = sum(len(r.columns) for r in relations)
+    return judged(1, attrs, n, C.unary_candidates(attrs), n * (n - 1), [K.unary_keys(r, config) for r in relations], config, began)
 
 
 def next_layer(layer: Layer, index: DataFrame, relations: list[Relation], config: DiscoveryConfig) -> Layer | None:
@@ -93,7 +93,7 @@ def next_layer(layer: Layer, index: DataFrame, relations: list[Relation], config
         return None
     columns = {tuple(r) for r in attrs.select("rel_id", F.explode("cols")).distinct().collect()}
     keys = [K.nary_keys(r, attrs, sizes[r.id], {c for k, c in columns if k == r.id}, config) for r in relations if r.id in sizes]
-    return judged(arity, attrs, stage(C.as_ids(longer, attrs), f"pairs{arity}"), keys, config, began)
+    return judged(arity, attrs, sum(sizes.values()), C.as_ids(longer, attrs), longer.count(), keys, config, began)
 
 
 def discover(tables: dict[str, DataFrame], config: DiscoveryConfig = DiscoveryConfig()) -> Discovery:

@@ -45,3 +45,16 @@ def test_reports(spark, tmp_path):
     write(found, str(tmp_path / "out"))
     lines = [json.loads(x) for p in (tmp_path / "out" / "run").glob("*.json") for x in p.read_text().splitlines()]
     assert sorted((x["layer"], x["valid"]) for x in lines) == [(1, 4), (2, 2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from subsumer.__main__ import main
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x\n1\n2\n")
+    (folder / "b.csv").write_text("y\n1\n2\n3\n")
+    main([str(folder), "--threshold", "1.0"])
+    assert "a.x" in capsys.readouterr().out
+    main([str(folder), "--out", str(tmp_path / "out")])
+    assert list((tmp_path / "out" / "pinds").glob("layer=1/*.json"))
