@@ -7,6 +7,9 @@ and shuffled once a layer and every later join is over attributes, not values.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,9 @@ from ..config import DiscoveryConfig
 from ..functions.expressions import key_of, normalized
 from .catalog import Relation
 
-#: Attributes of one relation up to which their list is broadcast; beyond, rows and list are joined
-#: by relation and salt.
+#: Attributes of one relation up to which they become expressions, which stay in generated code, and
+#: up to which their list is broadcast; beyond, rows and list are joined by salt.
+INLINE_ATTRIBUTES = 256
 BROADCAST_ATTRIBUTES = 20_000
 SALTS = 64
 
@@ -27,15 +31,25 @@ def cells(relation: Relation, config: DiscoveryConfig, needed: set[int] | None =
 
 
 def unary_keys(relation: Relation, config: DiscoveryConfig) -> DataFrame:
-    """(attr_id, key array<string>) of each cell: the relation unpivoted.  A null cell has a null key."""
-    place = F.posexplode("cells").alias("place", "value")
-    rows = cells(relation, config).select(place)
-    return rows.select((F.lit(relation.offset) + F.col("place")).cast("long").alias("attr_id"), F.when(F.col("value").isNotNull(), F.array("value")).alias("key"))
+    """(attr_id, key: the text) of each cell: the relation unpivoted.  A null cell has a null key."""
+    rows = cells(relation, config).select(F.posexplode("cells").alias("place", "key"))
+    return rows.select((F.lit(relation.offset) + F.col("place")).cast("long").alias("attr_id"), "key")
+
+
+def _key(cols: list[int]):
+    whole = reduce(and_, (F.col(f"c{c}").isNotNull() for c in cols))
+    return F.when(whole, F.array(*(f"c{c}" for c in cols)))
 
 
 def nary_keys(relation: Relation, attrs: DataFrame, n_attrs: int, needed: set[int], config: DiscoveryConfig) -> DataFrame:
-    """(attr_id, key) of each row and attribute of the relation; a null component makes the key null."""
-    own = attrs.filter(F.col("rel_id") == relation.id).select(F.struct("attr_id", "cols").alias("a"))
+    """(attr_id, key array<string>) of each row and attribute; a null component makes the key null."""
+    own = attrs.filter(F.col("rel_id") == relation.id)
+    if n_attrs <= INLINE_ATTRIBUTES:
+        cell = {i: normalized(relation.df[relation.columns[i]], config) for i in needed}
+        rows = relation.df.select(*(c.alias(f"c{i}") for i, c in cell.items()))
+        made = [F.struct(F.lit(i).cast("long").alias("attr_id"), _key(cols).alias("key")) for i, cols in own.select("attr_id", "cols").collect()]
+        return rows.select(F.explode(F.array(*made)).alias("a")).select("a.attr_id", "a.key")
+    own = own.select(F.struct("attr_id", "cols").alias("a"))
     rows = cells(relation, config, needed)
     if n_attrs <= BROADCAST_ATTRIBUTES:
         joined = rows.crossJoin(F.broadcast(own.agg(F.collect_list("a").alias("all")))).select("cells", F.explode("all").alias("a"))

@@ -193,20 +193,20 @@ def attr_catalog(spark, sf_dir):
 def unpivot_values(spark, sf_dir):
     relations = relations_of(tables(spark, sf_dir, SMALL))
     keys = reduce(DataFrame.union, [K.unary_keys(r, DiscoveryConfig()) for r in relations])
-    return named(spark, relations, keys, {"attr_id": "attr"}).select("attr", F.col("key")[0].alias("v"))
+    return named(spark, relations, keys, {"attr_id": "attr"}).select("attr", F.col("key").alias("v"))
 
 
 def value_counts(spark, sf_dir):
     relations = relations_of(tables(spark, sf_dir, ["orders"]))
     counts = K.value_counts(K.unary_keys(relations[0], DiscoveryConfig()))
-    return named(spark, relations, counts, {"attr_id": "attr"}).select("attr", F.col("key")[0].alias("v"), "n")
+    return named(spark, relations, counts, {"attr_id": "attr"}).select("attr", F.col("key").alias("v"), "n")
 
 
 def value_groups(spark, sf_dir):
     relations = relations_of(tables(spark, sf_dir, SMALL))
     groups = K.value_groups(K.value_counts(reduce(DataFrame.union, [K.unary_keys(r, DiscoveryConfig()) for r in relations])))
     rows = named(spark, relations, groups.select("key", F.explode("members.attr_id").alias("attr_id")), {"attr_id": "attr"})
-    return rows.groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_list("attr"))).alias("attrs")).select(F.col("key")[0].alias("v"), "attrs")
+    return rows.groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_list("attr"))).alias("attrs")).select(F.col("key").alias("v"), "attrs")
 
 
 def attr_stats(spark, sf_dir):
@@ -250,7 +250,7 @@ def violating_values(spark, sf_dir):
     counts = K.value_counts(reduce(DataFrame.union, [K.unary_keys(r, config) for r in relations]))
     side = lambda a: counts.filter(F.col("attr_id") == number[a])
     cases = [("l_suppkey", "s_suppkey"), ("l_partkey", "s_suppkey")]
-    found = [V.violating_keys(side(d), side(r)).select(F.lit(d).alias("dep"), F.lit(r).alias("ref"), F.col("key")[0].alias("v"), "n") for d, r in cases]
+    found = [V.violating_keys(side(d), side(r)).select(F.lit(d).alias("dep"), F.lit(r).alias("ref"), F.col("key").alias("v"), "n") for d, r in cases]
     return reduce(DataFrame.union, found)
 
 

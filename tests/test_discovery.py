@@ -83,11 +83,13 @@ def test_against_brute_force(spark, seed):
     assert ours(spark, tables, threshold, nulls=nulls, duplicates=mode) == brute.discover(tables, threshold, nulls.value, aware)
 
 
-def test_salted_keys_equal_broadcast_keys(spark, monkeypatch):
+def test_the_three_ways_to_keys_agree(spark, monkeypatch):
     from subsumer.operators import keys
 
     tables = {"s": (["x", "y"], [("1", "a"), ("2", "b")]), "t": (["p", "q"], [("1", "a"), ("2", "b")])}
     want = ours(spark, tables)
+    monkeypatch.setattr(keys, "INLINE_ATTRIBUTES", 0)
+    assert ours(spark, tables) == want
     monkeypatch.setattr(keys, "BROADCAST_ATTRIBUTES", 0)
     assert ours(spark, tables) == want
     assert any(r[0] == 2 for r in want)
