@@ -194,9 +194,9 @@ def log_probabilities(keys: np.ndarray, tree: Tree, upper: Upper) -> np.ndarray:
 # ------------------------------------------------------------------------------------- DataFrames
 
 
-def _pieces(texts: list[bytes], depth: int):
+def _pieces(texts, depth: int):
     """(places of texts, keys, begins) for about CHUNK bytes at a time; a longer text comes in parts."""
-    held, size = [], 0
+    places, held, size = [], [], 0
     for k, text in enumerate(texts):
         if len(text) > CHUNK:
             data = np.frombuffer(bytes([END] * depth) + text + bytes([END]), np.uint8)
@@ -208,22 +208,59 @@ def _pieces(texts: list[bytes], depth: int):
                     key |= part[depth - d : depth - d + n] << np.uint64(8 * (depth + 1 - d))
                 yield [k], key, np.zeros(1, np.int64)
             continue
-        held.append(k)
+        places.append(k)
+        held.append(text)
         size += len(text)
         if size >= CHUNK:
-            yield held, *grams_of([texts[i] for i in held], depth)
-            held, size = [], 0
+            yield places, *grams_of(held, depth)
+            places, held, size = [], [], 0
     if held:
-        yield held, *grams_of([texts[i] for i in held], depth)
+        yield places, *grams_of(held, depth)
+
+
+def _texts(table: pa.Table):
+    """The texts one by one, so that a block is not held twice."""
+    return (x.as_buffer().to_pybytes() for x in table["text"].combine_chunks().cast(pa.binary()))
+
+
+class Lookup:
+    """Places of keys in a table without repeats, by open addressing; every key asked for is in it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        slot = self._slots(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            missed = self.table[slot] != left
+            left, slot = left[missed], (slot[missed] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        out = self.table[slot]
+        left = np.flatnonzero(self.keys[out] != keys)
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            out[left] = self.table[slot]
+            missed = self.keys[out[left]] != keys[left]
+            left, slot = left[missed], slot[missed]
+        return out
 
 
 def _distinct(blob: bytes, depth: int):
     """Distinct grams and words of a block with their counts in training texts; its tokens and ends there."""
     table = unpacked(blob)
-    texts = [x.as_buffer().to_pybytes() for x in table["text"].combine_chunks().cast(pa.binary())]
     held_out = table["held_out"].to_numpy()
     keys, counts = [], []
-    for places, found, begins in _pieces(texts, depth):
+    for places, found, begins in _pieces(_texts(table), depth):
         learnt = np.repeat(~held_out[places], np.diff([*begins, len(found)]))
         for part, weight in ((found[learnt], 1), (found[~learnt], 0)):
             own, n = np.unique(part, return_counts=True)
@@ -232,12 +269,12 @@ def _distinct(blob: bytes, depth: int):
         if len(keys) > 16:
             keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
     words: Counter = Counter()
-    for text, out in zip(texts, held_out.tolist(), strict=True):
+    for text, out in zip(_texts(table), held_out.tolist(), strict=True):
         if not out:
             words.update(text.split())
     ends = int((~held_out).sum())
     tokens = sum(words.values()) + ends
-    for text, out in zip(texts, held_out.tolist(), strict=True):
+    for text, out in zip(_texts(table), held_out.tolist(), strict=True):
         if out:
             for w in text.split():
                 words[w] += 0
@@ -350,22 +387,19 @@ def _score(depth: int):
         if len(blocks):
             keys = np.concatenate([expand_sorted(b.as_py()) for b in answers["keys"]])
             values = np.concatenate([expand_numbers(b.as_py(), "<f4") for b in answers["values"]]).astype(np.float64)
-            order = np.argsort(keys)
-            keys, values = keys[order], values[order]
-            totals: dict[bytes, int] = {}
+            lookup = Lookup(keys)
+            logs: dict[bytes, float] = {}
             for own, n in zip(answers["words"], answers["word_totals"], strict=True):
-                totals.update(zip(_words(own.as_py()), expand_numbers(n.as_py(), "<u8").tolist(), strict=True))
-            logs = {w: math.log10(c + 1) for w, c in totals.items()}
+                logs.update(zip(_words(own.as_py()), np.log10(expand_numbers(n.as_py(), "<u8") + 1.0).tolist(), strict=True))
             for blob in blocks["blob"]:
                 table = unpacked(blob.as_py())
-                texts = [x.as_buffer().to_pybytes() for x in table["text"].combine_chunks().cast(pa.binary())]
-                scores = np.zeros(len(texts))
-                for places, found, begins in _pieces(texts, depth):
-                    scores[places] += np.add.reduceat(values[np.searchsorted(keys, found)], begins)
+                scores = np.zeros(len(table))
+                for places, found, begins in _pieces(_texts(table), depth):
+                    scores[places] += np.add.reduceat(values[lookup.find(found)], begins)
                 rows = []
-                for text, found in zip(texts, scores.tolist(), strict=True):
-                    own = text.split()
-                    rows.append((len(text), len(own), sum(1 for w in own if totals[w]), float(sum(map(logs.__getitem__, own))), found))
+                for text, found in zip(_texts(table), scores.tolist(), strict=True):
+                    own = list(map(logs.__getitem__, text.split()))
+                    rows.append((len(text), len(own), len(own) - own.count(0.0), float(sum(own)), found))
                 columns = zip(("size", "words", "known", "logs", "score"), zip(*rows, strict=True), strict=True)
                 out.append(pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"]} | {k: list(v) for k, v in columns}))
         return pa.concat_tables(out)
