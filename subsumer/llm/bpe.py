@@ -170,15 +170,23 @@ def unmarked(key: str) -> str:
     return body if head == _HEAD else ("\n" if head == _LINE else " ") + body
 
 
+def plain_keys(text: str) -> list[str]:
+    """The cache keys of a text by the quick split; none if the text has the marks themselves."""
+    if not text or _LINE in text or _HEAD in text or _WHOLE in text:
+        return []
+    return (_HEAD + text.replace("\n", " " + _LINE)).split(" ")
+
+
 def encode_with(cache: dict, text: str) -> bytes:
     """The values of a text's chunks, joined; cache has or makes the value of a key."""
     if not text:
         return b""
-    if len(cache) > CACHE_ENTRIES:
+    if len(cache) > getattr(cache, "limit", CACHE_ENTRIES):
         cache.clear()
-    if not (_LINE in text or _HEAD in text or _WHOLE in text):
+    keys = plain_keys(text)
+    if keys:
         try:
-            return b"".join(map(cache.__getitem__, (_HEAD + text.replace("\n", " " + _LINE)).split(" ")))
+            return b"".join(map(cache.__getitem__, keys))
         except Spaced:
             pass
     first, *rest = _SPACED.split(text)

@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_CHUNK, encode_with, unmarked
-from .common import shared_dir, ship, stage, text_of
+from .bpe import CACHE_CHUNK, Spaced, encode_with, plain_keys, unmarked
+from .common import shared_dir, ship, slices, stage, text_of
 
 SHORTEST, LONGEST = 64, 1024  # identifiers in a chunk, but for a stream's last
 MASK = 0xFF  # a cut where these bits of the hash are zero
 ROLL = 8  # identifiers in the rolling hash
 NAME = 32
+TOGETHER = 256  # chunks in one string for the library
 
 
 class Broken(RuntimeError):
@@ -41,7 +42,14 @@ class Broken(RuntimeError):
 
 
 class LibraryChunks(dict):
-    """Chunk of a text -> its identifiers by the library, as little-endian 32-bit integers."""
+    """Chunk of a text -> its identifiers by the library, as little-endian 32-bit integers.
+
+    Chunks of many texts are encoded in few calls, set apart by a special token, at which the library
+    cuts before anything else.  When the cache is full it becomes the older half: chunks in use move
+    back, the others go the next time.
+    """
+
+    limit = 400_000  # of either half
 
     def __init__(self, content: bytes):
         super().__init__()
@@ -51,10 +59,47 @@ class LibraryChunks(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.mark_id = min(special) if special else (None, None)
+        self.older: dict[str, bytes] = {}
+
+    def clear(self) -> None:
+        self.older = dict(self)
+        super().clear()
+
+    def fill(self, texts: list[str]) -> None:
+        """Encode the chunks of the texts that are not known yet."""
+        if self.mark is None:
+            return
+        keys: set[str] = set()
+        for text in texts:
+            keys.update(plain_keys(text))
+        wanted, bodies = [], []
+        for key in keys:
+            if key in self or len(key) > CACHE_CHUNK or self.mark in key:
+                continue
+            if key in self.older:
+                self[key] = self.older[key]
+                continue
+            try:
+                bodies.append(unmarked(key))
+                wanted.append(key)
+            except Spaced:
+                pass  # such a text is split with care later
+        joined = [self.mark.join(bodies[i : i + TOGETHER]) for i in range(0, len(bodies), TOGETHER)]
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            own = wanted[k * TOGETHER : (k + 1) * TOGETHER]
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw, begin = ids.tobytes(), 0
+            for key, end in zip(own, ends, strict=True):
+                self[key] = raw[4 * begin : 4 * end]
+                begin = end + 1
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.tokenizer.encode(unmarked(key), add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
+        found = self.older.get(key)
+        if found is None:
+            found = np.array(self.tokenizer.encode(unmarked(key), add_special_tokens=False).ids, "<u4").tobytes()
         if len(key) <= CACHE_CHUNK:
             self[key] = found
         return found
@@ -81,18 +126,31 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return out * np.uint32(0x85EBCA6B) >> np.uint32(7)
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream.  They depend on the identifiers of the stream alone."""
+def cut_all(ids: np.ndarray, sizes: np.ndarray):
+    """(identifiers, ends of their chunks) of each of several joined streams.
+
+    No cut comes before SHORTEST identifiers, so a hash never reaches into the stream before.
+    """
     marks = np.flatnonzero((rolling(ids) & np.uint32(MASK)) == 0) + 1
-    ends, begin, n = [], 0, len(ids)
+    ends = np.cumsum(sizes)
+    first, last = np.searchsorted(marks, ends - sizes, "right").tolist(), np.searchsorted(marks, ends, "right").tolist()
+    for begin, end, a, b in zip((ends - sizes).tolist(), ends.tolist(), first, last, strict=True):
+        yield ids[begin:end], _ends((marks[a:b] - begin).tolist(), end - begin)
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    out, begin, k = [], 0, 0
     while n - begin > SHORTEST:
-        k = int(np.searchsorted(marks, begin + SHORTEST))
-        end = min(int(marks[k]) if k < len(marks) else n, begin + LONGEST, n)
-        ends.append(end)
-        begin = end
-    if begin < n:
-        ends.append(n)
-    return ends
+        while k < len(marks) and marks[k] < begin + SHORTEST:
+            k += 1
+        begin = min(marks[k] if k < len(marks) else n, begin + LONGEST, n)
+        out.append(begin)
+    return out if begin == n else [*out, n]
+
+
+def cut(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream.  They depend on the identifiers of the stream alone."""
+    return next(cut_all(ids, np.array([len(ids)])))[1]
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -132,12 +190,14 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, i
     def encode(batches):
         chunks = library(vocab.value)
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             recipes, names, bodies = [], [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(encode_with(chunks, text.as_py()) + bytes(4), "<u4")
+            texts = batch.column(1).to_pylist()
+            chunks.fill(texts)
+            streams = [encode_with(chunks, text) + bytes(4) for text in texts]
+            for ids, ends in cut_all(np.frombuffer(b"".join(streams), "<u4"), np.array([len(x) // 4 for x in streams])):
                 body, recipe, begin = ids.astype(as_stored).tobytes(), [], 0
-                for end in cut(ids):
+                for end in ends:
                     part = body[begin * width : end * width]
                     name = hashlib.sha256(part).digest()
                     recipe.append(name)

@@ -12,6 +12,7 @@ Conventions held by all operators here
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,3 +65,16 @@ def ship(spark: SparkSession, path: str):
     """Broadcast one vocabulary file; its size does not depend on the data."""
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of frames that are no longer referenced, before the next round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most so many rows, so that what is made of one stays small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
