@@ -17,6 +17,7 @@ bodies don't move once more.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -53,6 +54,7 @@ class LibraryChunks(dict):
 
     def __init__(self, content: bytes):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(content)
