@@ -7,6 +7,9 @@ whole corpus are sent back.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -14,12 +17,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 BLOCK_BYTES = 32 << 20
 BUCKET_BYTES = 16 << 20  # of text for each bucket of keys
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def trim() -> None:
+    """Give memory that a block needed back to the system; workers are reused and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -49,11 +62,12 @@ def expand_numbers(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def packed(rows: DataFrame, text_col: str) -> DataFrame:
+def packed(rows: DataFrame, text_col: str, block_bytes: int | None = None) -> DataFrame:
     """(block long, n_bytes long, n_rows long, blob binary), written to the shared folder.
 
-    A block takes rows of one input partition up to BLOCK_BYTES of text, or one longer text.
+    A block takes rows of one input partition up to block_bytes of text, or one longer text.
     """
+    most = block_bytes or BLOCK_BYTES
 
     def run(batches):
         first, number, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
@@ -66,32 +80,34 @@ def packed(rows: DataFrame, text_col: str) -> DataFrame:
                 writer.write_table(table.combine_chunks())
             row = [[first + number], [size], [len(table)], [squeeze(sink.getvalue())]]
             number, held, size = number + 1, [], 0
+            trim()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "n_bytes", "n_rows", "blob"])
 
         for batch in batches:
             ends = np.cumsum([len(t) for t in (x.as_buffer() for x in batch.column(text_col).cast(pa.binary()))], dtype=np.int64)
             begin, done = 0, 0
             while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(ends, done + BLOCK_BYTES - size, "right")))
+                end = max(begin + 1, int(np.searchsorted(ends, done + most - size, "right")))
                 held.append(batch.slice(begin, end - begin))
                 size += int(ends[end - 1]) - done
                 begin, done = end, int(ends[end - 1])
-                if size >= BLOCK_BYTES or begin < batch.num_rows:
+                if size >= most or begin < batch.num_rows:
                     yield block()
         if held:
             yield block()
 
-    return stage(rows.mapInArrow(run, "block long, n_bytes long, n_rows long, blob binary"), "blocks")
+    with small_batches(rows.sparkSession):
+        return stage(rows.mapInArrow(run, "block long, n_bytes long, n_rows long, blob binary"), "blocks")
 
 
 def unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(expand(blob)).read_all()
 
 
-def buckets_for(blocks: DataFrame) -> int:
+def buckets_for(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets of keys: as many as keep a bucket's share of the corpus about the same."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return int(min(max(8, -(-total // BUCKET_BYTES)), 1 << 20))
+    return int(min(max(8, -(-total // bucket_bytes)), 1 << 20))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

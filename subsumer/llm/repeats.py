@@ -12,7 +12,7 @@ neighbours: a core that occurs once rules out its windows, a hull that occurs tw
 Parse.  For what is left, windows near the ends of a repeat, each window (a phrase suffix and what
 follows it in the parse) is ordered in the same way and compared with its neighbours.
 
-Ranks are fingerprints of twice 64 bits rather than lexicographic, as only equality of LENGTH bytes
+Ranks are fingerprints of 96 bits and more rather than lexicographic, as only equality of LENGTH bytes
 is asked for.  Texts move in compressed blocks; a block's entries go to buckets by fingerprint and
 only verdicts come back, in the order in which the block derives the same entries again.
 """
@@ -27,10 +27,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import buckets_for, expand, expand_numbers, expand_sorted, mixed, packed, squeeze, squeeze_numbers, squeeze_sorted, unpacked
-from .common import stage, text_of
+from .blocks import buckets_for, expand, expand_numbers, expand_sorted, mixed, packed, squeeze, squeeze_numbers, squeeze_sorted, trim, unpacked
+from .common import release, small_batches, stage, text_of
 
-PART = (1 << 20) - (1 << 12)  # bytes of a part without margins; places in a part take 20 bits
+BLOCK_BYTES = 8 << 20  # of text: entries hardly repeat within a block, so small ones cost little
+BUCKET_BYTES = 32 << 20
+PART = 1 << 18  # bytes of a part without margins; places in a part take 20 bits
 PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -62,12 +64,12 @@ class Roller:
 class Parts:
     """A block's texts, as parts of whole texts or, of a longer text, pieces with margins."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int):
+        """data: the texts' bytes, joined; sizes: of each text."""
         self.length = length
         self.core = length // 2 + 4 if length > 16 else max(1, length // 2)
         self.reach = length - self.core  # a window's trigger begins up to here after the window
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.data, self.sizes = data, sizes
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
 
@@ -126,25 +128,33 @@ class Parts:
 
 
 class Entries:
-    """Distinct (a, b) pairs in the order of bucket, a, b, with whether they occur once or more."""
+    """Distinct (a, b) pairs in order, with whether they occur once or more.
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, counted: np.ndarray, buckets: int):
-        bucket = (mixed(a) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((b, a, bucket))
-        a, b, bucket = a[order], b[order], bucket[order]
+    A bucket is a range of a, which is a finished hash, so buckets follow the same order.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, counted: np.ndarray, buckets: int, kind: str):
+        """kind: of b as it travels."""
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
         first = np.flatnonzero(head)
-        self.of = np.empty(len(a), np.int64)  # entry of each given pair
-        self.of[order] = np.cumsum(head) - 1
-        self.times = np.minimum(np.add.reduceat(counted[order].astype(np.int64), first), 2).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
-        self.a, self.b, self.cuts = a[first], b[first], np.searchsorted(bucket[first], np.arange(buckets + 1))
+        self.of = np.empty(len(a), np.int32)  # entry of each given pair
+        self.of[order] = np.cumsum(head, dtype=np.int32) - 1
+        self.times = np.minimum(np.add.reduceat(counted[order].astype(np.int32), first), 2).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+        self.a, self.b, self.kind = a[first], b[first], kind
+        bucket = (self.a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
 
     def rows(self, block: int):
         for k in range(len(self.cuts) - 1):
             part = slice(self.cuts[k], self.cuts[k + 1])
-            yield block, k, squeeze_sorted(self.a[part]), squeeze_numbers(self.b[part], "<u8"), squeeze(self.times[part].tobytes())
+            yield block, k, squeeze_sorted(self.a[part]), squeeze_numbers(self.b[part], self.kind), squeeze(self.times[part].tobytes())
 
 
+#: How b travels: a hull is compared among all entries with its core, so it keeps 64 bits; a window's
+#: first 64 bits are its own already.
+HULL, WINDOW = "<u8", "<u4"
 ENTRY = "block long, bucket long, a binary, b binary, times binary"
 NAMES = ["block", "bucket", "a", "b", "times"]
 
@@ -154,7 +164,16 @@ def _batch(rows) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(NAMES, columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
 
-def verdicts(table: pa.Table) -> pa.Table:
+def verdicts(kind: str):
+    def run(table: pa.Table) -> pa.Table:
+        found = _verdicts(table, kind)
+        trim()
+        return found
+
+    return run
+
+
+def _verdicts(table: pa.Table, kind: str) -> pa.Table:
     """For each block's entries of one bucket: 0 if a occurs once in the corpus, 2 or 3 if (a, b)
     occurs more than once, else 1.  Where a occurs with other b, too, one entry of each repeated
     (a, b) gets the 3: it still has to show its windows to the others'.  b = 0 never counts as equal.
@@ -162,8 +181,8 @@ def verdicts(table: pa.Table) -> pa.Table:
     a = [expand_sorted(x.as_py()) for x in table["a"]]
     sizes = [len(x) for x in a]
     a = np.concatenate(a)
-    b = np.concatenate([expand_numbers(x.as_py(), "<u8") for x in table["b"]])
-    times = np.concatenate([np.frombuffer(expand(x.as_py()), np.uint8) for x in table["times"]]).astype(np.int64)
+    b = np.concatenate([expand_numbers(x.as_py(), kind) for x in table["b"]])
+    times = np.concatenate([np.frombuffer(expand(x.as_py()), np.uint8) for x in table["times"]]).astype(np.int32)
     order = np.lexsort((b, a))
     out = np.zeros(len(a), np.uint8)
     if len(a):
@@ -179,22 +198,27 @@ def verdicts(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary())})
 
 
-def _texts(blob: bytes) -> tuple[pa.Table, list[bytes]]:
+def _texts(blob: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block's rows, its texts' bytes as they lie in memory, and their sizes."""
     table = unpacked(blob)
-    return table, [x.as_buffer().to_pybytes() for x in table["text"].combine_chunks().cast(pa.binary())]
+    column = table["text"].combine_chunks()
+    column = (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return table, data, np.diff(ends)
 
 
 class Block:
     """What the rounds derive from a block's texts."""
 
-    def __init__(self, texts: list[bytes], length: int, buckets: int):
-        self.parts, self.buckets = Parts(texts, length), buckets
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int, buckets: int):
+        self.parts, self.buckets = Parts(data, sizes, length), buckets
         self.spans = list(self.parts.spans())
         runs, cores, hulls = zip(*(self.parts.scan(s) for s in self.spans), strict=True) if self.spans else ((), (), ())
         self.counts = [len(c) for c in cores]
         join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
         self.trigger, self.first, self.last = (join([r[i] for r in runs], np.int64) for i in range(3))
-        self.phrases = Entries(join(cores, np.uint64), join(hulls, np.uint64), join([r[3] for r in runs], bool), buckets)
+        self.phrases = Entries(join(cores, np.uint64), join(hulls, np.uint64), join([r[3] for r in runs], bool), buckets, HULL)
 
     def settled(self, flags: np.ndarray) -> np.ndarray:
         """Whether the windows of each run are repeated (2, 3), not (0) or open (1)."""
@@ -202,7 +226,7 @@ class Block:
 
     def open_windows(self, state: np.ndarray) -> tuple[np.ndarray, Entries]:
         """Windows that phrases leave open or that have to be shown to such, and their entries."""
-        starts, a, b, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+        starts, a, b, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
         for span, count in zip(self.spans, self.counts, strict=True):
             mine = np.arange(begin, begin + count)[state[begin : begin + count] & 1 == 1]
             begin += count
@@ -213,19 +237,22 @@ class Block:
             low, data = span[4], self.parts.data[span[4] : span[5]]
             starts.append(own)
             a.append(Roller(data, 0).at(own - low, self.parts.length))
-            b.append(np.maximum(Roller(data, 1).at(own - low, self.parts.length), np.uint64(1)))
+            b.append(np.maximum(Roller(data, 1).at(own - low, self.parts.length) >> np.uint64(32), np.uint64(1)).astype(np.uint32))
         starts = np.concatenate(starts)
-        return starts, Entries(np.concatenate(a), np.concatenate(b), np.ones(len(starts), bool), self.buckets)
+        return starts, Entries(np.concatenate(a), np.concatenate(b), np.ones(len(starts), bool), self.buckets, WINDOW)
 
     def covered(self, state: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bytes inside a repeated window: of the settled runs, and of the windows that start at ``starts``."""
-        change = np.zeros(len(self.parts.data) + 1, np.int32)
+        change = np.zeros(len(self.parts.data) + 1, np.int8)  # of each kind at most one begins and ends at a place
         sure = state >= 2
-        np.add.at(change, self.first[sure], 1)
-        np.add.at(change, self.last[sure] + self.parts.length, -1)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + self.parts.length, -1)
-        return np.cumsum(change[:-1], dtype=np.int32) > 0
+        for begins, ends in ((self.first[sure], self.last[sure] + self.parts.length), (starts, starts + self.parts.length)):
+            np.add.at(change, begins, 1)
+            np.add.at(change, ends, -1)
+        out, carried = np.empty(len(change) - 1, bool), 0
+        for begin in range(0, len(out), PART):
+            depth = np.cumsum(change[begin : min(begin + PART, len(out))], dtype=np.int32) + carried
+            out[begin : begin + PART], carried = depth > 0, int(depth[-1])
+        return out
 
 
 def _flags(answers: pa.Table, which: int) -> np.ndarray:
@@ -245,42 +272,47 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         raise ValueError("length must be 8 or more")
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    blocks = packed(rows, "text").select("block", "n_bytes", "blob")
-    buckets = buckets_for(blocks)
+    blocks = packed(rows, "text", BLOCK_BYTES).select("block", "n_bytes", "blob")
+    buckets = buckets_for(blocks, BUCKET_BYTES)
     blocks = blocks.select("block", "blob")
 
     def phrases(batches):
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = Block(_texts(blob.as_py())[1], length, buckets)
-                yield from _batch(found.phrases.rows(block)).to_batches()
+                found = Block(*_texts(blob.as_py())[1:], length, buckets)
+                rows = _batch(found.phrases.rows(block))
+                del found
+                trim()
+                yield from rows.to_batches()
 
     def windows(own: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for block, blob in zip(own["block"].to_pylist(), own["blob"], strict=True):
-            found = Block(_texts(blob.as_py())[1], length, buckets)
+            found = Block(*_texts(blob.as_py())[1:], length, buckets)
             _, entries = found.open_windows(found.settled(_flags(answers, 0)))
             out += entries.rows(block)
+            del found, entries
+            trim()
         return _batch(out)
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for blob in own["blob"]:
-            table, texts = _texts(blob.as_py())
-            found = Block(texts, length, buckets)
+            table, data, sizes = _texts(blob.as_py())
+            found = Block(data, sizes, length, buckets)
             state = found.settled(_flags(answers, 0))
             starts, entries = found.open_windows(state)
             gone = found.covered(state, starts[_flags(answers, 1)[entries.of] >= 2])
             results = []
-            for text, begin, end in zip(texts, found.parts.begins.tolist(), found.parts.ends.tolist(), strict=True):
-                own_gone = gone[begin:end]
+            for begin, end in zip(found.parts.begins.tolist(), found.parts.ends.tolist(), strict=True):
+                text, own_gone = data[begin:end].tobytes(), gone[begin:end]
                 if not own_gone.any():
-                    results.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), [], text))
+                    results.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), [], text if with_text else None))
                     continue
                 edges = np.flatnonzero(np.diff(own_gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                kept = found.parts.data[begin:end][~own_gone].tobytes()
+                kept = data[begin:end][~own_gone].tobytes()
                 spans = [{"begin": x, "end": y} for x, y in edges.tolist()]
-                results.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept))
+                results.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept if with_text else None))
             columns = list(zip(*results, strict=True))
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             made = {"doc_id": table["doc_id"]}
@@ -288,12 +320,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 if with_text or name != "kept":
                     made[name] = pa.array(column, t)
             out.append(pa.table(made))
+            del found, data, table, gone, starts, entries
+            trim()
         return pa.concat_tables(out)
 
-    entries = blocks.mapInArrow(phrases, ENTRY)
     answer = "block long, bucket long, flags binary"
-    first = stage(entries.groupBy("bucket").applyInArrow(verdicts, answer).withColumn("which", F.lit(0)), "phrases")
-    opened = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, ENTRY)
-    second = stage(opened.groupBy("bucket").applyInArrow(verdicts, answer).withColumn("which", F.lit(1)), "windows")
+    judged = blocks.mapInArrow(phrases, ENTRY).groupBy("bucket").applyInArrow(verdicts(HULL), answer)
+    with small_batches(docs.sparkSession):
+        first = stage(judged.withColumn("which", F.lit(0)), "phrases")
+    del judged
+    release(docs.sparkSession)
+    judged = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, ENTRY).groupBy("bucket").applyInArrow(verdicts(WINDOW), answer)
+    with small_batches(docs.sparkSession):
+        second = stage(judged.withColumn("which", F.lit(1)), "windows")
+    del judged
+    release(docs.sparkSession)
     shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>"
     return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(finish, shape + (", kept binary" if with_text else ""))
