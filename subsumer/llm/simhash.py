@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stage, text_of
+from .common import lower_ascii, slices, stage, text_of
 from .components import components
 
 SEED = 42
@@ -215,66 +215,120 @@ def near_duplicates(docs: DataFrame, size: int = 3, k: int = 2, bands: int = 4,
 
 # ------------------------------------------------------------- near copies at a Jaccard similarity
 
-WIDE = 4  # words of a wide fingerprint
-TABLES, TABLE_BITS = 96, 24
-RUN = 32  # up to here all pairs of a run are candidates
+SKETCH = 4  # words of a sketch
+SAMPLE, FREQUENT = 8000, 65_536  # texts sampled for shingles that are common, and most of them
+BLOCK = 1024  # larger runs are dealt into blocks of about so many, and each pair of blocks compared
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WIDE * 64 bits, as 0 and 1, of a set of shingle hashes."""
-    ones = []
-    for k in range(WIDE):
-        x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-        x ^= x >> np.uint64(29)
-        ones.append(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32))
-    return (2 * np.concatenate(ones) > len(hashes)).astype(np.uint8)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH longs of parities: two sets differ in as many shingles as their sketches in bits, or more."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
-def table_pivots() -> np.ndarray:
-    """[table, place]: which single-bit pivots a table takes its coordinates from."""
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(64 * WIDE)[:TABLE_BITS] for _ in range(TABLES)])
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """As many of the rarest shingles as any set of that similarity must share one of (of its own prefix).
+
+    common: sorted hashes of shingles that come last, in the order of ranks.  Any order is exact.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        shingles = shingles[np.argsort(np.where(common[at] == shingles, ranks[at], 0), kind="stable")]
+    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]
 
 
-def _wide(size: int):
-    pivots, powers = table_pivots(), 1 << np.arange(TABLE_BITS, dtype=np.int64)
+def _common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the most common shingles of a sample, and their places from 1; they only set an order."""
+    every = max(1, rows.count() // SAMPLE)
 
     def run(batches):
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
-            for begin in range(0, len(texts), 1000):
-                own = texts[begin : begin + 1000]
-                bits = np.stack([wide_fingerprint(np.unique(shingle_hashes(t, size))) for t in own])
-                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                keys = np.stack([(bits[:, p].astype(np.int64) * powers).sum(1) * TABLES + k for k, p in enumerate(pivots)], 1)
-                flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, TABLES, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(own)), *(pa.array(words[:, k]) for k in range(WIDE)), flat], ["node", *(f"w{k}" for k in range(WIDE)), "keys"])
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["shingle"])
+
+    counts = rows.filter(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").count()
+    found = [r.shingle for r in counts.filter("count > 2").orderBy("count", "shingle", ascending=False).limit(FREQUENT).collect()]
+    hashes, ranks = np.array(found[::-1], np.int64).view(np.uint64), np.arange(1, len(found) + 1)
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
+
+def _prefixes(size: int, similarity: float, common):
+    def run(batches):
+        hashes, ranks = common.value
+        for batch in slices(batches):
+            # texts without words are alike: one shingle that stands for none
+            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(1).cast(pa.binary())]
+            sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+            words = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), np.int64)
+            keys = pa.array([prefix(s, similarity, hashes, ranks).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(words[:, k]) for k in range(SKETCH)), keys], ["node", "n", *(f"w{k}" for k in range(SKETCH)), "keys"])
 
     return run
 
 
-def _run_pairs(batches):
-    """Candidates of each run of equal keys: all pairs of a short one, else each with the first and the RUN before it."""
-    key, run = None, []
-    for batch in batches:
-        a, b = [], []
-        for k, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key:
-                key, run, first = k, [], node
-            if len(run) >= RUN:
-                a.append(first)
-                b.append(node)
-                run.pop(0)
-            a += run
-            b += [node] * len(run)
-            run.append(node)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _whole_runs(batches, by: int):
+    """Columns of whole runs: rows equal in the first ``by`` columns, by which they arrive sorted."""
+    held = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = own if held is None else [np.concatenate(p) for p in zip(held, own, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        starts = np.append(0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:by]], axis=0)) + 1)
+        cut = len(held[0]) if batch is None else int(starts[-1])
+        if cut:
+            yield [c[:cut] for c in held], starts[starts < cut]
+            held = [c[cut:] for c in held]
+
+
+def _shared(batches):
+    """Rows, once each, of keys that two nodes or more have, with the least node of the key and their number."""
+    for (key, node, n, place), _ in _whole_runs(batches, 1):
+        once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node, n, place = key[once], node[once], n[once], place[once]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        many = np.repeat(sizes > 1, sizes)
+        out = [key, node, n, place, np.repeat(node[starts], sizes), np.repeat(sizes, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in out], ["key", "node", "n", "place", "first", "members"])
+
+
+def _cross_pairs(similarity: float):
+    """All pairs of each run that are not of one group yet, less those that proven bounds exclude.
+
+    A run is a key's nodes, or those of two blocks of them.  A pair whose shingles from a shared one
+    on are too few is left to the first key that it shares.
+    """
+
+    def run(batches):
+        for (_, low, high, block, node, n, place, group, *words), starts in _whole_runs(batches, 3):
+            sizes = np.diff(np.append(starts, len(node)))
+            remaining = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node)) - 1
+            at, step = np.flatnonzero(remaining > 0), 1
+            while len(at):
+                for i in np.array_split(at, len(at) // 100_000 + 1):
+                    j = i + step
+                    apart = (group[i] != group[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
+                    i, j = i[apart], j[apart]
+                    both = n[i] + n[j]
+                    need = np.ceil(both * similarity / (1 + similarity) - 1e-9)  # shingles to be shared
+                    bits = sum((np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in words), np.zeros(len(i), np.int64))
+                    near = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (bits <= both - 2 * need)
+                    a, b = node[i[near]], node[j[near]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                step += 1
+                at = at[remaining[at] >= step]
+
+    return run
 
 
 def _shingle_sets(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -284,10 +338,11 @@ def _shingle_sets(size: int):
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts linked by a Jaccard similarity of word-shingle sets of ``similarity`` or more.
 
-    SimHash here has 256 bits.  Candidates agree in the coordinates of TABLE_BITS single-bit pivots,
-    for one of TABLES choices of pivots; then their bits, then their exact similarity is compared.
-    Pairs that are already connected are not verified again.  Finding candidates is probabilistic
-    (about 0.85 of the pairs at 0.8, 0.97 at 0.85, over 0.99 from 0.9); no dissimilar pair is linked.
+    The search loses no pair: two such sets share one of their rarest shingles (prefix filter), and
+    pairs are discarded only by their sizes, the places of the shared shingle and the bits in which
+    their sketches differ, all of which bound the shingles they share.  First each text is compared
+    with the least node of each of its keys; then all pairs that are not in one group yet, where
+    keys of many nodes are compared by pairs of blocks.  Every link is verified on the whole sets.
 
     Returns (node long, component: smallest identifier of the group, stays boolean) for texts in a
     group of two or more, where node is xxhash64(identifier, text): repeated rows share a node and a
@@ -295,18 +350,14 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     """
     own = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("node", F.xxhash64("doc_id", "text"))
     rows = own.select("node", lower_ascii(F.col("text")).alias("text"))
-    words = ", ".join(f"w{k} long" for k in range(WIDE))
-    wide = stage(rows.mapInArrow(_wide(size), f"node long, {words}, keys array<long>"), "wide")
-    keyed = wide.select(F.explode("keys").alias("key"), "node", "w0")
-    runs = keyed.repartition("key").sortWithinPartitions("key", "w0", "node").select("key", "node")
-    pairs = runs.mapInArrow(_run_pairs, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bits = wide.drop("keys").distinct()
-    left = bits.select(F.col("node").alias("a"), *(F.col(f"w{k}").alias(f"x{k}") for k in range(WIDE)))
-    right = bits.select(F.col("node").alias("b"), *(F.col(f"w{k}").alias(f"y{k}") for k in range(WIDE)))
-    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WIDE)), F.lit(0))
-    expected = 64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi  # bits apart, on average
-    limit = int(expected + 4 * np.sqrt(expected * (1 - expected / (64 * WIDE))))
-    near = stage(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= limit), "near")
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, size))
+    names = [f"w{k}" for k in range(SKETCH)]
+    longs = ", ".join(f"{w} long" for w in names)
+    sets = stage(rows.mapInArrow(_prefixes(size, similarity, common), f"node long, n long, {longs}, keys array<long>"), "prefixes")
+    keyed = sets.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
+    shape = "key long, node long, n long, place long, first long, members long"
+    shared = stage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, shape), "shared")
+    bits = sets.drop("keys").distinct()
 
     def verified(some: DataFrame) -> DataFrame:
         nodes = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
@@ -315,13 +366,25 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
         shared = F.size(F.array_intersect("s", "t"))
         return stage(both.filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b"), "links")
 
-    best = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    first = verified(stage(best, "best"))
+    stars = shared.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    left = bits.select(F.col("node").alias("a"), F.col("n").alias("m"), *(F.col(w).alias(f"x{k}") for k, w in enumerate(names)))
+    right = bits.select(F.col("node").alias("b"), "n", *(F.col(w).alias(f"y{k}") for k, w in enumerate(names)))
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(SKETCH)), F.lit(0))
+    most = (F.col("m") + F.col("n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    stars = stars.join(left, "a").join(right, "b").filter((apart <= most) & (F.abs(F.col("m") - F.col("n")) <= most)).select("a", "b")
+    first = verified(stage(stars, "stars"))
     roots = components(first)
-    named = roots.union(roots.select("root", "root").distinct())
-    rest = near.select("a", "b").join(named.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
-    rest = rest.filter("NOT (p <=> q AND p IS NOT NULL)").select("a", "b")
-    roots = components(first.union(verified(stage(rest, "rest"))))
+    named = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("root", "group")
+    grouped = bits.drop("n").join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    open_rows = stage(shared.drop("first").join(grouped, "node"), "open")
+    mixed = open_rows.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h")).filter("g <> h").select("key")
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("long")
+    dealt = open_rows.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "group", *names)
+    runs = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rest = stage(runs.mapInArrow(_cross_pairs(similarity), "a long, b long").distinct(), "rest")
+    roots = components(first.union(verified(rest)))
     members = roots.union(roots.select("root", "root").distinct())
     ids = own.select("node", "doc_id").join(members, "node").distinct()
     stay = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))

@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from subsumer.llm import simhash as S
 from subsumer.llm.components import components
@@ -108,3 +110,36 @@ def test_near_copies(docs, odd):
     fates = S.near_copies(docs(odd)).collect()
     assert all(r.component is not None for r in fates)
     assert S.near_copies(docs([])).collect() == []
+
+
+def brute_groups(rows, at_least=0.8):
+    """Identifier -> smallest of its group, for groups of two or more."""
+    sets = {i: set(S.shingle_hashes(t.lower().encode(), 5).tolist()) for i, t in rows}
+    root = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= at_least * len(sets[a] | sets[b]))
+    sizes = Counter(root.values())
+    return {i: r for i, r in root.items() if sizes[r] > 1}
+
+
+def found_groups(spark, docs, rows):
+    own = docs(rows)
+    nodes = own.select("doc_id", F.xxhash64("doc_id", "text").alias("node"))
+    return {r.doc_id: r.component for r in S.near_copies(own).join(nodes, "node").collect()}
+
+
+@pytest.mark.parametrize("block", [1024, 50])
+def test_long_runs_are_compared_in_full(spark, docs, monkeypatch, block):
+    """Hundreds of texts that share a long passage, each alike to few of them."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    passage = rng.choices(words, k=90)
+    tails = [rng.choices(words, k=30) for _ in range(150)]
+    rows = []
+    for k in range(600):
+        tail = list(tails[k % 150])
+        for p in rng.sample(range(30), rng.randint(0, 3)):
+            tail[p] = rng.choice(words)
+        rows.append((k, " ".join(passage + tail)))
+    want = brute_groups(rows)
+    assert len(set(want.values())) > 100
+    assert found_groups(spark, docs, rows) == want
