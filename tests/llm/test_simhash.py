@@ -143,3 +143,19 @@ def test_long_runs_are_compared_in_full(spark, docs, monkeypatch, block):
     want = brute_groups(rows)
     assert len(set(want.values())) > 100
     assert found_groups(spark, docs, rows) == want
+
+
+def test_no_pair_at_the_threshold_is_lost(spark, docs, odd):
+    """Pairs at 0.8 or little more, from 8 against 9 words to hundreds of words."""
+    rng = random.Random(13)
+    words = [f"v{k}" for k in range(4000)]
+    rows = []
+    for k in range(0, 400, 2):
+        text = rng.choices(words, k=8 if k < 200 else rng.randint(40, 400))
+        shingles = len(text) - 4
+        rows += [(k, " ".join(text)), (k + 1, " ".join([*text, *rng.choices(words, k=shingles // 4)]))]
+    want = brute_groups(rows)
+    assert len(want) == 400
+    assert found_groups(spark, docs, rows) == want
+    named = [(5000 + k, t or "") for k, (i, t) in enumerate(odd)]
+    assert found_groups(spark, docs, named) == brute_groups(named)
