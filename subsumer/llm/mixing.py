@@ -34,16 +34,20 @@ class Target:
         that keeps to it is taken (1 if none does).  Exactly one of the two is given.
     highest: exponents above it are not tried; 1 never sharpens the input's own shares.
     budget: tokens; "corpus": as many as the input has; "cover": the least that uses each text once.
+    silent: with "cover", sources without a token are emitted, too: once, with weight 0.
     """
 
     evenness: float | None = None
     max_repetition: float | None = None
     highest: float = HIGHEST
     budget: int | str = "corpus"
+    silent: bool = False
 
     def __post_init__(self):
         if (self.evenness is None) == (self.max_repetition is None):
             raise ValueError("give either evenness or max_repetition")
+        if self.silent and self.budget != "cover":
+            raise ValueError("silent goes with budget 'cover'")
 
 
 def hashed(seed: str, *parts: Column) -> Column:
@@ -104,17 +108,20 @@ def mix(
     pass the budget by part of a text.  carry: further columns of the input.
 
     A null source counts as the source "".  A source without a token has no share and is not
-    emitted; texts without tokens cost nothing.  A carried column replaces an output of its name.  Rows that repeat are texts of their own (told apart
+    emitted, unless ``target.silent``; texts without tokens cost nothing.  With budget "cover" every
+    text is in epoch 0, also those without tokens that come last.  A carried column replaces an output of its name.  Rows that repeat are texts of their own (told apart
     by identifier only for the order, so ties share a position).  An empty table gives no rows.
     """
     carry = list(carry or [])
     kept = [docs[c].alias(f"_c{k}") for k, c in enumerate(carry)]
     own = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), token_counts(docs, text_col).alias("n_tokens"), *kept)
     own = stage(own, "tokens")
-    sources = own.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("texts")).filter("tokens > 0")
-    sources = stage(sources, "sources")
+    every = stage(own.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("texts")), "sources")
+    sources = every.filter("tokens > 0")
     total = sources.agg(F.sum("tokens")).first()[0] or 1
     plan = weights(sources, total, find_exponent(sources, total, target), target.budget)
+    if target.silent:
+        plan = plan.unionByName(every.filter("tokens = 0").withColumns({"weight": F.lit(0.0), "budget": F.lit(0).cast("long")}))
     plan = plan.withColumn("blocks", F.ceil(F.sqrt("texts")).cast("long"))
 
     rank = hashed(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -126,12 +133,13 @@ def mix(
     placed = dealt.withColumn("_before", F.sum("n_tokens").over(inside) - F.sum("n_tokens").over(tied))
 
     sizes = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
-    epochs = plan.select("source", "tokens", "budget", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("budget") / F.col("tokens")) - 1, F.lit(0)).cast("long"))).alias("epoch"))
+    epochs = plan.select("source", "tokens", "budget", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("budget") / F.greatest("tokens", F.lit(1))) - 1, F.lit(0)).cast("long"))).alias("epoch"))
     ordered = Window.partitionBy("source", "epoch").orderBy(hashed(seed, F.col("source"), F.col("block"), F.col("epoch")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = (F.col("epoch") == 0) & F.lit(target.budget == "cover")
     schedule = sizes.join(epochs, "source").withColumn("_offset", F.sum("size").over(ordered) - F.col("size"))
-    schedule = schedule.withColumn("_left", F.col("budget") - F.col("epoch") * F.col("tokens")).filter("_offset < _left")
+    schedule = schedule.withColumn("_left", F.col("budget") - F.col("epoch") * F.col("tokens")).filter((F.col("_offset") < F.col("_left")) | whole)
     out = placed.join(schedule.select("source", "block", "epoch", "_offset", "_left"), ["source", "block"])
-    out = out.withColumn("position", F.col("_offset") + F.col("_before")).filter("position < _left")
+    out = out.withColumn("position", F.col("_offset") + F.col("_before")).filter((F.col("position") < F.col("_left")) | whole)
     own_names = ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "position"]
     return out.select(*(c for c in own_names if c not in carry), *(F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)))
 

@@ -58,3 +58,19 @@ def test_empty_and_bad_targets(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), mixing.Target(evenness=0.9)).collect() == []
     with pytest.raises(ValueError, match="either"):
         mixing.Target()
+
+
+def test_cover_keeps_texts_without_tokens(spark):
+    """Many wordless texts, some ordered last, in a source whose budget is its own tokens, and a source of nothing else."""
+    rows = [(i, "w w" if i % 10 == 0 else "", "one") for i in range(200)] + [(1000 + i, None, "silent") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cover = {"evenness": 0.88, "highest": 1.0, "budget": "cover"}
+    got = mixing.mix(df, mixing.Target(**cover)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(200))
+    got = mixing.mix(df, mixing.Target(**cover, silent=True)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    assert {(r.weight, r.epoch, r.position) for r in got if r.source == "silent"} == {(0.0, 0, 0)}
+    none = mixing.mix(df.filter("source = 'silent'"), mixing.Target(**cover, silent=True)).collect()
+    assert sorted(r.doc_id for r in none) == list(range(1000, 1009))
+    with pytest.raises(ValueError, match="cover"):
+        mixing.Target(evenness=0.9, silent=True)
