@@ -312,16 +312,24 @@ def nary_held(threshold):
     return query
 
 
-def live_value_mask(spark, sf_dir):
-    """Cells of nation and supplier whose value an exact dependency's dependent side has."""
+def masked(spark, sf_dir, names):
+    """Cells of the named tables whose value an exact dependency's dependent side has, in whichever table."""
     relations, layer = unary(spark, sf_dir)
     deps = layer.valid.select(F.col("dep_id").alias("attr_id")).distinct()
     live = reduce(DataFrame.union, [K.unary_keys(r, DiscoveryConfig()) for r in relations]).join(deps, "attr_id", "left_semi").filter("key IS NOT NULL").select("key")
-    own = [r for r in relations if r.name in ("nation", "supplier")]
+    own = [r for r in relations if r.name in names]
     keys = reduce(DataFrame.union, [K.unary_keys(r, DiscoveryConfig()) for r in own])
     return named(spark, relations, K.mask(keys, live), {"attr_id": "attr"}).groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
 
 
+def live_value_mask(spark, sf_dir):
+    return masked(spark, sf_dir, ["nation", "supplier"])
+
+
+def live_value_mask_all(spark, sf_dir):
+    return masked(spark, sf_dir, list(SCHEMA))
+
+
 def layer_summary(spark, sf_dir):
     return discover(tables(spark, sf_dir), DiscoveryConfig(PARTIAL, max_nary=2)).summary().drop("seconds")
 
@@ -349,7 +357,7 @@ QUERIES = {
     "violations_unaware": unary_counted(DiscoveryConfig(PARTIAL, duplicates=Duplicates.UNAWARE)),
     **{k: unary_held(c) for k, c in CONFIGS.items()},
     **{k: unary_held(c, with_nulls) for k, c in NULL_CONFIGS.items()},
-    **{f.__name__: f for f in (nary_candidates_2, nary_attrs, apriori_check, nary_keys, nary_null_rows, live_value_mask, layer_summary, report_nested)},
+    **{f.__name__: f for f in (nary_candidates_2, nary_attrs, apriori_check, nary_keys, nary_null_rows, live_value_mask, live_value_mask_all, layer_summary, report_nested)},
     "nary_exact_2": nary_held(1.0),
     "nary_partial_2": nary_held(PARTIAL),
 }
@@ -405,6 +413,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 1::BIGINT, o_custkey::VARCHAR, o_orderpriority, count(*) FROM orders GROUP BY ALL""",
     "nary_null_rows": f"WITH {NULL_SQL} SELECT 0::BIGINT AS attr_id, line IS NULL OR supp IS NULL AS is_null, count(*) AS n FROM items GROUP BY ALL UNION ALL SELECT 1::BIGINT, line IS NULL OR none IS NULL, count(*) FROM items GROUP BY ALL",
     "live_value_mask": f"{_EXACT} SELECT attr, count(*) AS n FROM cells WHERE v IN (SELECT v FROM kv WHERE attr IN (SELECT dep FROM held)) AND (attr LIKE 'nation.%' OR attr LIKE 'supplier.%') GROUP BY attr",
+    "live_value_mask_all": f"{_EXACT} SELECT attr, count(*) AS n FROM cells WHERE v IN (SELECT v FROM kv WHERE attr IN (SELECT dep FROM held)) GROUP BY attr",
     "layer_summary": f"""{_PART}, {pairs_sql(PARTIAL)} SELECT 1 AS layer, (SELECT count(*) FROM stats) AS attributes, (SELECT count(*) FROM counted) AS candidates, (SELECT count(*) FROM held) AS valid
         UNION ALL SELECT 2, (SELECT count(*) FROM sides), (SELECT count(*) FROM nary), (SELECT count(*) FROM nary_held)""",
     "report_nested": f"""{_EXACT} SELECT 1 AS layer, split_part(dep, '.', 1) AS relation, split_part(dep, '.', 2) AS dependant, string_agg(ref, ';' ORDER BY ref) AS referenced FROM held GROUP BY ALL""",
