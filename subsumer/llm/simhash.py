@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, slices, stage, text_of
+from .common import lower_ascii, release, slices, stage, text_of
 from .components import components
 
 SEED = 42
@@ -357,6 +357,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     keyed = sets.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
     shape = "key long, node long, n long, place long, first long, members long"
     shared = stage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, shape), "shared")
+    release(docs.sparkSession)
     bits = sets.drop("keys").distinct()
 
     def verified(some: DataFrame) -> DataFrame:
@@ -373,6 +374,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     most = (F.col("m") + F.col("n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
     stars = stars.join(left, "a").join(right, "b").filter((apart <= most) & (F.abs(F.col("m") - F.col("n")) <= most)).select("a", "b")
     first = verified(stage(stars, "stars"))
+    release(docs.sparkSession)
     roots = components(first)
     named = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("root", "group")
     grouped = bits.drop("n").join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
@@ -384,6 +386,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "group", *names)
     runs = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     rest = stage(runs.mapInArrow(_cross_pairs(similarity), "a long, b long").distinct(), "rest")
+    release(docs.sparkSession)
     roots = components(first.union(verified(rest)))
     members = roots.union(roots.select("root", "root").distinct())
     ids = own.select("node", "doc_id").join(members, "node").distinct()
