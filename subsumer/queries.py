@@ -334,13 +334,21 @@ def layer_summary(spark, sf_dir):
     return discover(tables(spark, sf_dir), DiscoveryConfig(PARTIAL, max_nary=2)).summary().drop("seconds")
 
 
-def report_nested(spark, sf_dir):
-    found = nested(discover(tables(spark, sf_dir), DiscoveryConfig(max_nary=1)))
+def shown_nested(spark, sf_dir, max_nary):
+    found = nested(discover(tables(spark, sf_dir), DiscoveryConfig(max_nary=max_nary)))
     rows = found.select("layer", "relation", F.explode("dependants").alias("d")).select("layer", "relation", "d.*")
     refs = F.transform("referenced", lambda r: F.concat(r["relation"], F.lit("."), F.concat_ws(",", r["attribute"])))
     return rows.select("layer", "relation", F.concat_ws(",", "dependant").alias("dependant"), F.concat_ws(";", F.array_sort(refs)).alias("referenced"))
 
 
+def report_nested(spark, sf_dir):
+    return shown_nested(spark, sf_dir, 1)
+
+
+def report_nested_2(spark, sf_dir):
+    return shown_nested(spark, sf_dir, 2)
+
+
 CONFIGS = {
     "unary_exact": DiscoveryConfig(),
     "unary_partial_093": DiscoveryConfig(PARTIAL),
@@ -357,7 +365,7 @@ QUERIES = {
     "violations_unaware": unary_counted(DiscoveryConfig(PARTIAL, duplicates=Duplicates.UNAWARE)),
     **{k: unary_held(c) for k, c in CONFIGS.items()},
     **{k: unary_held(c, with_nulls) for k, c in NULL_CONFIGS.items()},
-    **{f.__name__: f for f in (nary_candidates_2, nary_attrs, apriori_check, nary_keys, nary_null_rows, live_value_mask, live_value_mask_all, layer_summary, report_nested)},
+    **{f.__name__: f for f in (nary_candidates_2, nary_attrs, apriori_check, nary_keys, nary_null_rows, live_value_mask, live_value_mask_all, layer_summary, report_nested, report_nested_2)},
     "nary_exact_2": nary_held(1.0),
     "nary_partial_2": nary_held(PARTIAL),
 }
@@ -417,6 +425,11 @@ ORACLE_SQL = {
     "layer_summary": f"""{_PART}, {pairs_sql(PARTIAL)} SELECT 1 AS layer, (SELECT count(*) FROM stats) AS attributes, (SELECT count(*) FROM counted) AS candidates, (SELECT count(*) FROM held) AS valid
         UNION ALL SELECT 2, (SELECT count(*) FROM sides), (SELECT count(*) FROM nary), (SELECT count(*) FROM nary_held)""",
     "report_nested": f"""{_EXACT} SELECT 1 AS layer, split_part(dep, '.', 1) AS relation, split_part(dep, '.', 2) AS dependant, string_agg(ref, ';' ORDER BY ref) AS referenced FROM held GROUP BY ALL""",
+    "report_nested_2": f"""{_EXACT}, {pairs_sql(1.0)}, names(rel, col, name) AS (SELECT rel, col, split_part(attr, '.', 2) FROM places),
+        found AS (SELECT 1 AS layer, split_part(dep, '.', 1) AS relation, split_part(dep, '.', 2) AS dependant, ref FROM held
+                  UNION ALL SELECT 2, dr, p.name || ',' || q.name, rr || '.' || r.name || ',' || s.name FROM nary_held
+                  JOIN names p ON p.rel = dr AND p.col = d1 JOIN names q ON q.rel = dr AND q.col = d2 JOIN names r ON r.rel = rr AND r.col = r1 JOIN names s ON s.rel = rr AND s.col = r2)
+        SELECT layer, relation, dependant, string_agg(ref, ';' ORDER BY ref) AS referenced FROM found GROUP BY ALL""",
     "nary_exact_2": f"{_EXACT}, {pairs_sql(1.0)} {NARY_NAMES.format(more=', x.size, cap, viol', source='nary_held')}",
     "nary_partial_2": f"{_PART}, {pairs_sql(PARTIAL)} {NARY_NAMES.format(more=', x.size, cap, viol', source='nary_held')}",
 }
