@@ -62,6 +62,97 @@ def expand_numbers(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+# Cells.  A block's sorted entries are cut where the bucket changes; each bucket that has any gets one
+# binary value, so there are never more rows than entries, however many blocks and buckets there are.
+# All cells of a block are made, and all cells of a bucket are read, in a few vector operations.
+
+
+def cuts(bucket: np.ndarray) -> np.ndarray:
+    """Where each cell begins; bucket ascends."""
+    return np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+
+
+def _cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of joined bytes, given the end of each."""
+    offsets = np.append(0, ends).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column and each value's length."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    whole = (whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)).cast(pa.large_binary())
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(whole) else np.zeros(0, np.uint8)
+    return data, np.diff(ends) if len(whole) else np.zeros(0, np.int64)
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of unsigned numbers, seven bits each, the last without the high bit; and each one's length."""
+    values = values.astype(np.uint64)
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        sizes += values >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    begins = ends - sizes
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        out[begins[own] + k] = (values[own] >> np.uint64(7 * k)).astype(np.uint8) & 127 | (sizes[own] > k + 1).astype(np.uint8) << 7
+    return out, sizes
+
+
+def _unvarints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where each ends."""
+    ends = np.flatnonzero(data < 128) + 1
+    sizes = np.diff(ends, prepend=0)
+    begins, out = ends - sizes, np.zeros(len(ends), np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        out[own] |= (data[begins[own] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out, ends
+
+
+def number_cells(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Cells of unsigned numbers, small ones short."""
+    data, sizes = _varints(values)
+    return _cells(data, np.append(np.cumsum(sizes), 0)[np.append(starts[1:], len(values)) - 1] if len(starts) else starts)
+
+
+def read_numbers(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all cells, joined, and how many each cell has."""
+    data, lengths = joined(column)
+    values, ends = _unvarints(data)
+    return values, np.diff(np.searchsorted(ends, np.cumsum(lengths), "right"), prepend=0)
+
+
+def sorted_cells(keys: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Cells of unsigned keys that ascend in each cell, as differences."""
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    steps[starts] = keys[starts]
+    return number_cells(steps, starts)
+
+
+def read_sorted(column) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = read_numbers(column)
+    sums = np.cumsum(steps, dtype=np.uint64)
+    before = np.append(np.uint64(0), sums)[np.cumsum(counts) - counts]
+    return sums - np.repeat(before, counts), counts
+
+
+def fixed_cells(values: np.ndarray, starts: np.ndarray, width: int) -> pa.Array:
+    """Cells of the lowest ``width`` bytes of each number."""
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return _cells(wide, np.append(starts[1:], len(values)) * width if len(starts) else starts)
+
+
+def read_fixed(column, width: int) -> np.ndarray:
+    data, _ = joined(column)
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = data.reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
 def packed(rows: DataFrame, text_col: str, block_bytes: int | None = None) -> DataFrame:
     """(block long, n_bytes long, n_rows long, blob binary), written to the shared folder.
 
@@ -107,7 +198,7 @@ def unpacked(blob: bytes) -> pa.Table:
 def buckets_for(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets of keys: as many as keep a bucket's share of the corpus about the same."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return int(min(max(8, -(-total // bucket_bytes)), 1 << 20))
+    return int(max(8, -(-total // bucket_bytes)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -23,13 +23,20 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+SIEVE_WORDS = 1 << 19  # of 64 bits: what a sieve broadcasts has as many rows at most
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (single-machine tests) a temporary folder is chosen and remembered.
+    Where it is unset, only a local session (one machine, as in tests) gets a temporary folder; on a
+    cluster that would be each machine's own, so it is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="subsumer-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -37,6 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that ``stage`` wrote since the list was taken; ``scratch`` takes it.
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -45,10 +56,60 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/subsumer/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing needs any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/subsumer/" in path:
+                delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, docs: DataFrame, before: list[str]):
+    """For a step whose result is written before the next one begins: delete what earlier steps staged
+    (``before``, which then gets what this one stages), unless ``docs`` is read from it."""
+    in_use = {f.rpartition("/")[0].rpartition("/")[2] for f in docs.inputFiles()}
+    kept = [p for p in before if p.rpartition("/")[2] in in_use]
+    for path in before:
+        if path not in kept:
+            delete(spark, path)
+    begin = len(_staged)
+    try:
+        yield
+    finally:
+        before[:] = kept + _staged[begin:]
+        del _staged[begin:]
+
+
+def _sieve_place(column: Column) -> Column:
+    return F.xxhash64(F.lit(7), column).bitwiseAND(F.lit(SIEVE_WORDS * 64 - 1))
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """(_word, _bits): a bitmap of hashed keys, of bounded size however many there are."""
+    place = keys.select(_sieve_place(F.col(column)).alias("_p"))
+    words = place.selectExpr("shiftright(_p, 6) AS _word", "shiftleft(1L, cast(_p & 63 AS int)) AS _bit")
+    return words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def sifted(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Add _maybe: false for rows whose key is not in the sieve; true for all others and some more."""
+    place = df.withColumn("_p", _sieve_place(F.col(column))).withColumn("_word", F.expr("shiftright(_p, 6)"))
+    joined = place.join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("coalesce(shiftright(_bits, cast(_p & 63 AS int)) & 1L, 0L) = 1L")
+    return joined.withColumn("_maybe", hit).drop("_word", "_p", "_bits")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,8 +13,9 @@ Parse.  For what is left, windows near the ends of a repeat, each window (a phra
 follows it in the parse) is ordered in the same way and compared with its neighbours.
 
 Ranks are fingerprints of 96 bits and more rather than lexicographic, as only equality of LENGTH bytes
-is asked for.  Texts move in compressed blocks; a block's entries go to buckets by fingerprint and
-only verdicts come back, in the order in which the block derives the same entries again.
+is asked for.  Texts move in compressed blocks; a block's entries go to buckets by fingerprint (as
+cells, see blocks.py) and only verdicts come back, in the order in which the block derives the same
+entries again.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import buckets_for, expand, expand_numbers, expand_sorted, mixed, packed, squeeze, squeeze_numbers, squeeze_sorted, trim, unpacked
+from .blocks import buckets_for, cuts, fixed_cells, joined, mixed, packed, read_fixed, read_sorted, sorted_cells, trim, unpacked
 from .common import release, small_batches, stage, text_of
 
-BLOCK_BYTES = 8 << 20  # of text: entries hardly repeat within a block, so small ones cost little
+BLOCK_BYTES = 4 << 20  # of text: entries hardly repeat within a block, so small ones cost little
 BUCKET_BYTES = 32 << 20
+WINDOW_BUCKETS = 16  # times as many buckets, as there is an entry for each open window, up to one a byte
 PART = 1 << 18  # bytes of a part without margins; places in a part take 20 bits
 PLACE = np.uint64((1 << 20) - 1)
 
@@ -119,7 +121,7 @@ class Parts:
         s0 = np.maximum(s0, a)
         keep = s1 >= a
         t, s0, s1, counted = t[keep], s0[keep], s1[keep], counted[keep]
-        hashes = Roller(data, 0).at(t - low, self.core)
+        hashes = mixed(~Roller(data, 0).at(t - low, self.core))  # minima crowd at small values; buckets are ranges
         of = text[t - low]
         whole = (t - self.reach >= self.begins[of]) & (t + self.length <= self.ends[of])
         hull = np.zeros(len(t), np.uint64)
@@ -133,8 +135,7 @@ class Entries:
     A bucket is a range of a, which is a finished hash, so buckets follow the same order.
     """
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, counted: np.ndarray, buckets: int, kind: str):
-        """kind: of b as it travels."""
+    def __init__(self, a: np.ndarray, b: np.ndarray, counted: np.ndarray, buckets: int):
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
@@ -142,60 +143,58 @@ class Entries:
         self.of = np.empty(len(a), np.int32)  # entry of each given pair
         self.of[order] = np.cumsum(head, dtype=np.int32) - 1
         self.times = np.minimum(np.add.reduceat(counted[order].astype(np.int32), first), 2).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
-        self.a, self.b, self.kind = a[first], b[first], kind
-        bucket = (self.a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+        self.a, self.b = a[first], b[first]
+        self.bucket = ((self.a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def rows(self, block: int):
-        for k in range(len(self.cuts) - 1):
-            part = slice(self.cuts[k], self.cuts[k + 1])
-            yield block, k, squeeze_sorted(self.a[part]), squeeze_numbers(self.b[part], self.kind), squeeze(self.times[part].tobytes())
+    def rows(self, block: int, width: int) -> pa.RecordBatch:
+        """A row for each bucket; width: bytes of b that travel."""
+        at = cuts(self.bucket)
+        where = [pa.array(np.full(len(at), block)), pa.array(self.bucket[at])]
+        return pa.RecordBatch.from_arrays([*where, sorted_cells(self.a, at), fixed_cells(self.b, at, width), fixed_cells(self.times, at, 1)], NAMES)
 
 
-#: How b travels: a hull is compared among all entries with its core, so it keeps 64 bits; a window's
+#: Bytes of b that travel: a hull is compared among all entries with its core, so it keeps all; a window's
 #: first 64 bits are its own already.
-HULL, WINDOW = "<u8", "<u4"
+HULL, WINDOW = 8, 4
 ENTRY = "block long, bucket long, a binary, b binary, times binary"
 NAMES = ["block", "bucket", "a", "b", "times"]
 
 
-def _batch(rows) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(NAMES, columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
-
-
-def verdicts(kind: str):
+def verdicts(width: int):
     def run(table: pa.Table) -> pa.Table:
-        found = _verdicts(table, kind)
+        found = _verdicts(table, width)
         trim()
         return found
 
     return run
 
 
-def _verdicts(table: pa.Table, kind: str) -> pa.Table:
+def _verdicts(table: pa.Table, width: int) -> pa.Table:
     """For each block's entries of one bucket: 0 if a occurs once in the corpus, 2 or 3 if (a, b)
     occurs more than once, else 1.  Where a occurs with other b, too, one entry of each repeated
     (a, b) gets the 3: it still has to show its windows to the others'.  b = 0 never counts as equal.
     """
-    a = [expand_sorted(x.as_py()) for x in table["a"]]
-    sizes = [len(x) for x in a]
-    a = np.concatenate(a)
-    b = np.concatenate([expand_numbers(x.as_py(), kind) for x in table["b"]])
-    times = np.concatenate([np.frombuffer(expand(x.as_py()), np.uint8) for x in table["times"]]).astype(np.int32)
+    a, sizes = read_sorted(table["a"])
+    b = read_fixed(table["b"], width)
+    times = read_fixed(table["times"], 1)
     order = np.lexsort((b, a))
     out = np.zeros(len(a), np.uint8)
     if len(a):
-        x, y, n = a[order], b[order], times[order]
-        new = np.concatenate([[True], x[1:] != x[:-1]])
-        newer = new | np.concatenate([[True], y[1:] != y[:-1]])
-        many = np.repeat(np.add.reduceat(n, np.flatnonzero(new)), np.diff([*np.flatnonzero(new), len(x)])) > 1
-        equal = (np.repeat(np.add.reduceat(n, np.flatnonzero(newer)), np.diff([*np.flatnonzero(newer), len(x)])) > 1) & (y != 0)
-        groups = np.cumsum(new) - 1
-        mixed_group = np.bincount(groups, newer)[groups] > 1
-        out[order] = np.where(equal, 2 + (newer & mixed_group), many)
-    flags = [squeeze(x.tobytes()) for x in np.split(out, np.cumsum(sizes)[:-1])]
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary())})
+        x, y, n = a[order], b[order], times[order].astype(np.int64)
+        del a, b, times
+        new = np.append(True, x[1:] != x[:-1])
+        newer = new | np.append(True, y[1:] != y[:-1])
+        heads, first = np.flatnonzero(new), np.flatnonzero(newer)
+        several = np.add.reduceat(newer, heads, dtype=np.int64) > 1  # b in a group
+        of = np.searchsorted(heads, first, "right") - 1  # group of each (a, b)
+        totals = np.add.reduceat(n, first)
+        equal = (totals > 1) & (y[first] != 0)
+        verdict = np.where(equal, 2, np.add.reduceat(n, heads)[of] > 1).astype(np.uint8)
+        found = np.repeat(verdict, np.diff(np.append(first, len(x))))
+        found[first[equal & several[of]]] = 3
+        out[order] = found
+    flags = fixed_cells(out, np.cumsum(sizes) - sizes, 1)
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": flags})
 
 
 def _texts(blob: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -217,16 +216,16 @@ class Block:
         runs, cores, hulls = zip(*(self.parts.scan(s) for s in self.spans), strict=True) if self.spans else ((), (), ())
         self.counts = [len(c) for c in cores]
         join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-        self.trigger, self.first, self.last = (join([r[i] for r in runs], np.int64) for i in range(3))
-        self.phrases = Entries(join(cores, np.uint64), join(hulls, np.uint64), join([r[3] for r in runs], bool), buckets, HULL)
+        self.first, self.last = (join([r[i] for r in runs], np.int64) for i in (1, 2))
+        self.phrases = Entries(join(cores, np.uint64), join(hulls, np.uint64), join([r[3] for r in runs], bool), buckets)
 
     def settled(self, flags: np.ndarray) -> np.ndarray:
         """Whether the windows of each run are repeated (2, 3), not (0) or open (1)."""
         return flags[self.phrases.of]
 
-    def open_windows(self, state: np.ndarray) -> tuple[np.ndarray, Entries]:
+    def open_windows(self, state: np.ndarray):
         """Windows that phrases leave open or that have to be shown to such, and their entries."""
-        starts, a, b, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
+        starts, a, b, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
         for span, count in zip(self.spans, self.counts, strict=True):
             mine = np.arange(begin, begin + count)[state[begin : begin + count] & 1 == 1]
             begin += count
@@ -237,17 +236,18 @@ class Block:
             low, data = span[4], self.parts.data[span[4] : span[5]]
             starts.append(own)
             a.append(Roller(data, 0).at(own - low, self.parts.length))
-            b.append(np.maximum(Roller(data, 1).at(own - low, self.parts.length) >> np.uint64(32), np.uint64(1)).astype(np.uint32))
-        starts = np.concatenate(starts)
-        return starts, Entries(np.concatenate(a), np.concatenate(b), np.ones(len(starts), bool), self.buckets, WINDOW)
+            b.append(np.maximum(Roller(data, 1).at(own - low, self.parts.length) >> np.uint64(32), np.uint64(1)))
+        starts, a, b = (np.concatenate(x) for x in (starts, a, b))
+        return starts, Entries(a, b, np.ones(len(starts), bool), self.buckets * WINDOW_BUCKETS)
 
     def covered(self, state: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bytes inside a repeated window: of the settled runs, and of the windows that start at ``starts``."""
         change = np.zeros(len(self.parts.data) + 1, np.int8)  # of each kind at most one begins and ends at a place
         sure = state >= 2
-        for begins, ends in ((self.first[sure], self.last[sure] + self.parts.length), (starts, starts + self.parts.length)):
-            np.add.at(change, begins, 1)
-            np.add.at(change, ends, -1)
+        change[self.first[sure]] += 1
+        change[self.last[sure] + self.parts.length] -= 1
+        change[starts] += 1
+        change[starts + self.parts.length] -= 1
         out, carried = np.empty(len(change) - 1, bool), 0
         for begin in range(0, len(out), PART):
             depth = np.cumsum(change[begin : min(begin + PART, len(out))], dtype=np.int32) + carried
@@ -256,8 +256,9 @@ class Block:
 
 
 def _flags(answers: pa.Table, which: int) -> np.ndarray:
-    own = answers.filter(pa.compute.equal(answers["which"], which)).sort_by("bucket")
-    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(expand(x.as_py()), np.uint8) for x in own["flags"])])
+    """Verdicts of a block's entries, in their order."""
+    own = answers.filter(pc.equal(answers["which"], which)).sort_by("bucket")
+    return joined(own["flags"])[0] if len(own) else np.zeros(0, np.uint8)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -280,20 +281,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = Block(*_texts(blob.as_py())[1:], length, buckets)
-                rows = _batch(found.phrases.rows(block))
+                yield found.phrases.rows(block, HULL)
                 del found
                 trim()
-                yield from rows.to_batches()
 
     def windows(own: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
+        out = [pa.table({n: pa.array([], pa.int64() if k < 2 else pa.binary()) for k, n in enumerate(NAMES)})]
         for block, blob in zip(own["block"].to_pylist(), own["blob"], strict=True):
             found = Block(*_texts(blob.as_py())[1:], length, buckets)
             _, entries = found.open_windows(found.settled(_flags(answers, 0)))
-            out += entries.rows(block)
+            out.append(pa.Table.from_batches([entries.rows(block, WINDOW)]))
             del found, entries
-            trim()
-        return _batch(out)
+        trim()
+        return pa.concat_tables(out)
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
@@ -325,14 +325,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return pa.concat_tables(out)
 
     answer = "block long, bucket long, flags binary"
-    judged = blocks.mapInArrow(phrases, ENTRY).groupBy("bucket").applyInArrow(verdicts(HULL), answer)
     with small_batches(docs.sparkSession):
-        first = stage(judged.withColumn("which", F.lit(0)), "phrases")
+        judged = blocks.mapInArrow(phrases, ENTRY).groupBy("bucket").applyInArrow(verdicts(HULL), answer)
+        first = stage(judged.withColumn("which", F.lit(0)), "verdicts")
     del judged
     release(docs.sparkSession)
-    judged = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, ENTRY).groupBy("bucket").applyInArrow(verdicts(WINDOW), answer)
     with small_batches(docs.sparkSession):
-        second = stage(judged.withColumn("which", F.lit(1)), "windows")
+        judged = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, ENTRY).groupBy("bucket").applyInArrow(verdicts(WINDOW), answer)
+        second = stage(judged.withColumn("which", F.lit(1)), "verdicts")
     del judged
     release(docs.sparkSession)
     shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>"

@@ -23,11 +23,10 @@ def brute(texts, length):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_against_brute_force(spark, docs, seed, monkeypatch):
-    from subsumer.llm import blocks
-
     if seed % 2:
         monkeypatch.setattr(repeats, "PART", 150)
-        monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
+        monkeypatch.setattr(repeats, "BLOCK_BYTES", 700)
+        monkeypatch.setattr(repeats, "BUCKET_BYTES", 300)
     rng = random.Random(seed)
     letters = ["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyzé"][seed % 3]
     length = [8, 20, 50, 20][seed]
