@@ -41,27 +41,6 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def squeeze_sorted(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys, as differences, byte plane by byte plane."""
-    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def expand_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(expand(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def squeeze_numbers(values: np.ndarray, kind: str) -> bytes:
-    wide = np.ascontiguousarray(values.astype(kind))
-    return squeeze(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes())
-
-
-def expand_numbers(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 # Cells.  A block's sorted entries are cut where the bucket changes; each bucket that has any gets one
 # binary value, so there are never more rows than entries, however many blocks and buckets there are.
 # All cells of a block are made, and all cells of a bucket are read, in a few vector operations.

@@ -10,26 +10,30 @@ ends each text (and pads the context before its start).
 Scale.  Texts are packed into compressed blocks.  A block names its distinct grams (context and
 byte) and words; their counts are summed over all blocks in buckets of keys, the tree is computed in
 groups by the two most recent context bytes (of distinct grams, whose number doesn't grow with
-repetition), and each block gets back the values of its own grams and words only.  Nothing that grows with the
-corpus is broadcast or collected: the two upper levels of the tree are 65,535 nodes.
+repetition), and each block gets back the values of its own grams and words only, in the order in which it
+finds them again in its texts.  What moves is linear in the corpus (see cells in blocks.py).  Nothing that
+grows with the corpus is broadcast or collected: the two upper levels of the tree are 65,535 nodes.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import buckets_for, expand, expand_numbers, expand_sorted, mixed, packed, squeeze, squeeze_numbers, squeeze_sorted, unpacked
-from .common import lower_ascii, stage, text_of
+from .blocks import buckets_for, cuts, fixed_cells, joined, mixed, number_cells, packed, read_fixed, read_numbers, read_sorted, sorted_cells, trim, unpacked
+from .blocks import _cells as cells
+from .common import discard, lower_ascii, release, small_batches, stage, text_of
 
 END = 0xFF
-DEPTH = 5
+DEPTH = 6
+BLOCK_BYTES = 16 << 20
+SCALE, WIDTH = float(1 << 32), 5  # a gram's value travels as a multiple of 2**-32, in so many bytes
 CHUNK = 1 << 20  # bytes whose grams are held at once
 
 _TABLE = np.concatenate([[math.lgamma(0.5)], math.lgamma(0.5) + np.cumsum(np.log(np.arange(1 << 16) + 0.5))])
@@ -85,9 +89,9 @@ def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with summed counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = cuts(keys)
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
@@ -255,79 +259,86 @@ class Lookup:
         return out
 
 
-def _distinct(blob: bytes, depth: int):
-    """Distinct grams and words of a block with their counts in training texts; its tokens and ends there."""
-    table = unpacked(blob)
-    held_out = table["held_out"].to_numpy()
-    keys, counts = [], []
-    for places, found, begins in _pieces(_texts(table), depth):
-        learnt = np.repeat(~held_out[places], np.diff([*begins, len(found)]))
-        for part, weight in ((found[learnt], 1), (found[~learnt], 0)):
-            own, n = np.unique(part, return_counts=True)
-            keys.append(own)
-            counts.append(n * weight)
-        if len(keys) > 16:
-            keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
-    words: Counter = Counter()
-    for text, out in zip(_texts(table), held_out.tolist(), strict=True):
-        if not out:
-            words.update(text.split())
-    ends = int((~held_out).sum())
-    tokens = sum(words.values()) + ends
-    for text, out in zip(_texts(table), held_out.tolist(), strict=True):
-        if out:
-            for w in text.split():
-                words[w] += 0
-    return *summed(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])), words, tokens, ends
+class Own:
+    """A block's distinct grams and words, in the order in which they travel: by bucket, then grams by
+    themselves and words by their first place.  Counts (in training texts) only if asked for."""
+
+    def __init__(self, table: pa.Table, depth: int, buckets: int, counting: bool):
+        self.held_out = table["held_out"].to_numpy()
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for places, found, begins in _pieces(_texts(table), depth):
+            learnt = np.repeat(~self.held_out[places], np.diff([*begins, len(found)])) if counting else np.ones(len(found), bool)
+            for part, weight in ((found[learnt], 1), (found[~learnt], 0)):
+                own = np.sort(part)
+                at = cuts(own)
+                keys.append(own[at])
+                counts.append(np.diff(np.append(at, len(own))) * weight)
+            if len(keys) > 16:
+                keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
+        keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
+        place = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        self.keys, self.counts, self.bucket = keys[order], counts[order], place[order]
+
+        split = pc.ascii_split_whitespace(table["text"].combine_chunks())
+        words, of = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)
+        coded = words.filter(real).cast(pa.large_binary()).dictionary_encode()
+        self.text = of[real.to_numpy(zero_copy_only=False)]  # of each occurrence
+        distinct = coded.dictionary
+        place = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+        order = np.argsort(place, kind="stable")
+        self.words, self.word_bucket = distinct.take(pa.array(order)), place[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.word = back[coded.indices.to_numpy()]  # of each occurrence
+        if counting:
+            self.word_counts = np.bincount(self.word[~self.held_out[self.text]], minlength=len(order))
 
 
 def _bucketed(buckets: int, depth: int):
-    """A block -> for each bucket its keys and counts; words by the bucket of their CRC."""
+    """A block -> cells of its grams (kind 0) and words (kind 1) with their counts in training texts; its totals (kind 2)."""
 
     def run(batches):
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts, words, tokens, ends = _distinct(blob.as_py(), depth)
-                place = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                keys, counts, cuts = keys[order], counts[order], np.searchsorted(place[order], np.arange(buckets + 1))
-                own: list[list[bytes]] = [[] for _ in range(buckets)]
-                for w in words:
-                    own[zlib.crc32(w) % buckets].append(w)
-                rows = []
-                for b in range(buckets):
-                    part = slice(cuts[b], cuts[b + 1])
-                    found = sorted(own[b])
-                    rows.append((block, b, tokens if b == 0 else 0, ends if b == 0 else 0, squeeze_sorted(keys[part]), squeeze_numbers(counts[part], "<u4"), squeeze(b"\n".join(found)), squeeze_numbers(np.array([words[w] for w in found], np.int64), "<u4")))
-                yield pa.RecordBatch.from_pylist([dict(zip(BUCKET_SCHEMA.names, r, strict=True)) for r in rows], BUCKET_SCHEMA)
+                own = Own(unpacked(blob.as_py()), depth, buckets, True)
+                at, at_word = cuts(own.bucket), cuts(own.word_bucket)
+                lined = pc.binary_join_element_wise(own.words, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+                data, lengths = joined(lined)
+                ends = np.append(np.cumsum(lengths), 0)[np.append(at_word[1:], len(lengths)) - 1] if len(at_word) else at_word
+                yield _rows(block, 0, own.bucket[at], sorted_cells(own.keys, at), number_cells(own.counts, at))
+                yield _rows(block, 1, own.word_bucket[at_word], cells(data, ends), number_cells(own.word_counts, at_word))
+                totals = np.array([own.word_counts.sum(), (~own.held_out).sum()])
+                yield _rows(block, 2, np.zeros(1, np.int64), pa.array([b""], pa.binary()), number_cells(totals, np.zeros(1, np.int64)))
+                del own, lined, data
+                trim()
 
     return run
 
 
-BUCKET_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary())])
-
-
-def _words(blob: bytes) -> list[bytes]:
-    data = expand(blob)
-    return data.split(b"\n") if data else []
+def _rows(block: int, kind: int, bucket: np.ndarray, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    n = len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(bucket.astype(np.int64)), pa.array(np.full(n, kind, np.int32)), a, b], ["block", "bucket", "kind", "a", "b"])
 
 
 def _sum_keys(table: pa.Table) -> pa.Table:
-    keys = [expand_sorted(b.as_py()) for b in table["keys"]]
-    counts = [expand_numbers(b.as_py(), "<u4").astype(np.int64) for b in table["counts"]]
-    found, n = summed(np.concatenate(keys), np.concatenate(counts))
+    keys, _ = read_sorted(table["a"])
+    found, n = summed(keys, read_numbers(table["b"])[0].astype(np.int64))
+    trim()
     return pa.table({"gram": found.view(np.int64), "n": n})
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
-    """Corpus counts of each block's words in this bucket, and the words seen in training."""
-    total: Counter = Counter()
-    for own, n in zip(table["words"], table["word_counts"], strict=True):
-        for w, c in zip(_words(own.as_py()), expand_numbers(n.as_py(), "<u4").tolist(), strict=True):
-            total[w] += c
-    answers = [squeeze_numbers(np.array([total[w] for w in _words(own.as_py())], np.int64), "<u8") for own in table["words"]]
-    seen = [sum(c > 0 for c in total.values())] + [0] * (len(table) - 1)
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "seen": pa.array(seen, pa.int64()), "word_totals": pa.array(answers, pa.binary())})
+    """Corpus counts of each block's words in this bucket, and the number of words seen in training."""
+    data, lengths = joined(table["a"])
+    counts, each = read_numbers(table["b"])
+    coded = pa.array(data.tobytes().split(b"\n")[:-1], pa.large_binary()).dictionary_encode()
+    word = coded.indices.to_numpy()
+    total = np.bincount(word, counts.astype(np.float64)).astype(np.int64)
+    starts = np.cumsum(each) - each
+    seen = np.append(int((total > 0).sum()), np.zeros(len(table) - 1, np.int64))
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "kind": table["kind"], "seen": seen, "answer": number_cells(total[word], starts)})
 
 
 def _sorted_counts(table: pa.Table, depth: int):
@@ -376,32 +387,34 @@ def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
     """Values of each block's grams in this bucket."""
     grams, logp = right["gram"].to_numpy().view(np.uint64), right["logp"].to_numpy()
     order = np.argsort(grams)
-    grams, logp = grams[order], logp[order]
-    values = [squeeze_numbers(logp[np.searchsorted(grams, expand_sorted(k.as_py()))], "<f4") for k in left["keys"]]
-    return pa.table({"block": left["block"], "bucket": left["bucket"], "keys": left["keys"], "words": left["words"], "values": pa.array(values, pa.binary())})
+    grams, value = grams[order], np.rint(-logp[order] * SCALE).astype(np.uint64)
+    keys, each = read_sorted(left["a"])
+    values = value[np.searchsorted(grams, keys)] if len(keys) else value[:0]
+    found = fixed_cells(values, np.cumsum(each) - each, WIDTH)
+    trim()
+    return pa.table({"block": left["block"], "bucket": left["bucket"], "kind": left["kind"], "answer": found})
 
 
-def _score(depth: int):
+def _score(depth: int, buckets: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        if len(blocks):
-            keys = np.concatenate([expand_sorted(b.as_py()) for b in answers["keys"]])
-            values = np.concatenate([expand_numbers(b.as_py(), "<f4") for b in answers["values"]]).astype(np.float64)
-            lookup = Lookup(keys)
-            logs: dict[bytes, float] = {}
-            for own, n in zip(answers["words"], answers["word_totals"], strict=True):
-                logs.update(zip(_words(own.as_py()), np.log10(expand_numbers(n.as_py(), "<u8") + 1.0).tolist(), strict=True))
-            for blob in blocks["blob"]:
-                table = unpacked(blob.as_py())
-                scores = np.zeros(len(table))
-                for places, found, begins in _pieces(_texts(table), depth):
-                    scores[places] += np.add.reduceat(values[lookup.find(found)], begins)
-                rows = []
-                for text, found in zip(_texts(table), scores.tolist(), strict=True):
-                    own = list(map(logs.__getitem__, text.split()))
-                    rows.append((len(text), len(own), len(own) - own.count(0.0), float(sum(own)), found))
-                columns = zip(("size", "words", "known", "logs", "score"), zip(*rows, strict=True), strict=True)
-                out.append(pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"]} | {k: list(v) for k, v in columns}))
+        for blob in blocks["blob"]:
+            table = unpacked(blob.as_py())
+            own = Own(table, depth, buckets, False)
+            answers = answers.select(["bucket", "kind", "answer"]).sort_by([("kind", "ascending"), ("bucket", "ascending")])
+            values = -(read_fixed(answers.filter(pc.equal(answers["kind"], 0))["answer"], WIDTH) / SCALE)
+            totals, _ = read_numbers(answers.filter(pc.equal(answers["kind"], 1))["answer"])
+            logs, seen, n = np.log10(totals + 1.0), totals > 0, len(table)
+            found = [np.bincount(own.text, w, n) for w in (None, seen[own.word], logs[own.word])]
+            lookup, held_out = Lookup(own.keys), own.held_out
+            del own, totals, logs, seen
+            scores, sizes = np.zeros(n), pc.binary_length(table["text"]).to_numpy().astype(np.int64)
+            for places, grams, begins in _pieces(_texts(table), depth):
+                scores[places] += np.add.reduceat(values[lookup.find(grams)], begins)
+            columns = {"size": sizes, "words": found[0].astype(np.int64), "known": found[1].astype(np.int64), "logs": found[2], "score": scores}
+            out.append(pa.table({"doc_id": table["doc_id"], "held_out": held_out} | columns))
+            del table, values, lookup
+            trim()
         return pa.concat_tables(out)
 
     return run
@@ -424,25 +437,34 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         raise ValueError("a gram of depth + 1 bytes must fit into 64 bits, and the tree has two upper levels")
     rows = docs.select(docs[id_col].alias("doc_id"), held_out_column(docs[id_col]).alias("held_out"), lower_ascii(text_of(docs, text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    blocks = packed(rows, "text")
+    spark = docs.sparkSession
+    blocks = packed(rows, "text", BLOCK_BYTES)
     buckets = buckets_for(blocks)
-    shape = "block long, bucket long, tokens long, ends long, keys binary, counts binary, words binary, word_counts binary"
-    own = stage(blocks.select("block", "blob").mapInArrow(_bucketed(buckets, depth), shape), "grams")
-    counts = stage(own.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_sum_keys, "gram long, n long"), "counts")
-    totals = stage(own.select("block", "bucket", "words", "word_counts").groupBy("bucket").applyInArrow(_sum_words, "block long, bucket long, seen long, word_totals binary"), "words")
-    train_words, ends = (x or 0 for x in own.agg(F.sum("tokens"), F.sum("ends")).first())
-    vocabulary = (totals.agg(F.sum("seen")).first()[0] or 0) + (1 if train_words else 0)
+    cell = "block long, bucket long, kind int, a binary, b binary"
+    own = stage(blocks.select("block", "blob").mapInArrow(_bucketed(buckets, depth), cell), "grams")
+    with small_batches(spark):
+        counts = stage(own.filter("kind = 0").groupBy("bucket").applyInArrow(_sum_keys, "gram long, n long"), "counts")
+        totals = stage(own.filter("kind = 1").groupBy("bucket").applyInArrow(_sum_words, "block long, bucket long, kind int, seen long, answer binary"), "words")
+    release(spark)
+    sums = own.filter("kind = 2").mapInArrow(_totals, "tokens long, ends long").agg(F.sum("tokens"), F.sum("ends")).first()
+    train_words, ends = (sums[0] or 0) + (sums[1] or 0), sums[1] or 0
+    vocabulary = (totals.agg(F.sum("seen")).first()[0] or 0) + (1 if ends else 0)
 
     by_context = counts.withColumn("part", F.shiftright("gram", 8 * (depth - 1)) % F.lit(buckets * 3 + 1))
     tops = by_context.groupBy("part").applyInArrow(_tops(depth), "c1 long, node long, n0 long, n1 long, below double")
     nodes = tops.groupBy("c1", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toArrow()  # 65,280 rows at most
-    upper = docs.sparkSession.sparkContext.broadcast(Upper(*(nodes.column(i).to_numpy() for i in range(5))))
+    upper = spark.sparkContext.broadcast(Upper(*(nodes.column(i).to_numpy() for i in range(5))))
     logp = by_context.groupBy("part").applyInArrow(_scored(depth, upper), "gram long, logp double")
     logp = logp.mapInArrow(_with_bucket(buckets), "bucket long, gram long, logp double")
-    answers = own.select("block", "bucket", "keys", "words").groupBy("bucket").cogroup(logp.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, keys binary, words binary, values binary")
-    answers = answers.join(totals.select("block", "bucket", "word_totals"), ["block", "bucket"])
+    with small_batches(spark):
+        values = own.filter("kind = 0").select("block", "bucket", "kind", "a").groupBy("bucket").cogroup(logp.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, kind int, answer binary")
+        values = stage(values, "answers")
+    discard(own, counts)
+    del logp, by_context
+    release(spark)
+    answers = values.union(totals.select("block", "bucket", "kind", "answer"))
     scored = blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(depth), f"doc_id {kind}, held_out boolean, size long, words long, known long, logs double, score double"
+        _score(depth, buckets), f"doc_id {kind}, held_out boolean, size long, words long, known long, logs double, score double"
     )
     size = F.lit(math.log10(max(1, train_words + vocabulary + 1)))
     return scored.select(
@@ -458,6 +480,12 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     )
 
 
+def _totals(batches):
+    for batch in batches:
+        found = read_numbers(batch.column(4))[0].astype(np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["tokens", "ends"])
+
+
 def _with_bucket(buckets: int):
     def run(batches):
         for batch in batches:
