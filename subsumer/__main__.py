@@ -20,6 +20,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--separator", default=",")
     p.add_argument("--no-header", action="store_true")
     p.add_argument("--null-string", default="")
+    p.add_argument("--single-line", action="store_true", help="no value holds a line break: split large files")
     p.add_argument("--threshold", type=float, default=1.0)
     p.add_argument("--max-nary", type=int)
     p.add_argument("--nulls", choices=[n.value for n in Nulls], default="subset")
@@ -37,7 +38,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.preset:
         tables = read_preset(spark, a.preset, a.folder)
     else:
-        tables = from_folder(spark, a.folder, Dialect(separator=a.separator, header=not a.no_header, null_string=a.null_string))
+        tables = from_folder(spark, a.folder, Dialect(separator=a.separator, header=not a.no_header, null_string=a.null_string, multi_line=not a.single_line))
     config = DiscoveryConfig(a.threshold, a.max_nary, Nulls(a.nulls), Duplicates(a.duplicates), a.null_string, a.name)
     found = discover(tables, config)
     if a.out:
@@ -45,6 +46,7 @@ def main(args: list[str] | None = None) -> None:
     else:
         found.table().orderBy("layer", "dep", "ref").show(10_000, truncate=False)
         found.summary().show()
+    found.clean()
 
 
 if __name__ == "__main__":

@@ -41,7 +41,8 @@ class DiscoveryConfig:
 
 @dataclass(frozen=True)
 class Dialect:
-    """How a delimited file is read."""
+    """How a delimited file is read.  multi_line: quoted values may hold line breaks; without it a large
+    file is read by many tasks."""
 
     separator: str = ","
     quote: str = '"'
@@ -52,3 +53,4 @@ class Dialect:
     skip_ragged: bool = True
     ignore_leading_space: bool = True
     header_prefix: str = "column"
+    multi_line: bool = True

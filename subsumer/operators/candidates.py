@@ -20,10 +20,13 @@ def unary_index(valid_pairs: DataFrame, stats: DataFrame) -> DataFrame:
     return valid_pairs.join(deps, "dep_id").join(refs, "ref_id").select("dep_rel", "dep_col", "ref_rel", "ref_col")
 
 
-def described(valid_pairs: DataFrame, stats: DataFrame) -> DataFrame:
-    """(dep_rel, dep_cols, ref_rel, ref_cols) of valid pairs whose dependent side has values."""
+def described(valid_pairs: DataFrame, stats: DataFrame, with_rows: bool = True) -> DataFrame:
+    """(dep_rel, dep_cols, ref_rel, ref_cols) of valid pairs, with_rows: whose dependent side has values.
+
+    Only pairs with values are made longer; the subset check takes all that hold.
+    """
     sides = stats.select("attr_id", "rel_id", "cols", "n_rows")
-    deps = sides.filter("n_rows > 0").drop("n_rows").toDF("dep_id", "dep_rel", "dep_cols")
+    deps = (sides.filter("n_rows > 0") if with_rows else sides).drop("n_rows").toDF("dep_id", "dep_rel", "dep_cols")
     refs = sides.drop("n_rows").toDF("ref_id", "ref_rel", "ref_cols")
     return valid_pairs.join(deps, "dep_id").join(refs, "ref_id").select("dep_rel", "dep_cols", "ref_rel", "ref_cols")
 

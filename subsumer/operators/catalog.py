@@ -7,12 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import scalar_columns
+from ..sources.tables import scalar_places
 
 
 @dataclass(frozen=True)
 class Relation:
-    """A table under discovery; a column's global number is offset plus its place."""
+    """A table under discovery; a column's global number is offset plus its place.
+
+    df's columns are c0, c1, and so on: columns are known by place, so their names may repeat, differ in
+    case only or hold any character.  columns: the names, for reports.
+    """
 
     id: int
     name: str
@@ -24,8 +28,10 @@ class Relation:
 def relations_of(tables: dict[str, DataFrame]) -> list[Relation]:
     found, offset = [], 0
     for k, (name, df) in enumerate(tables.items()):
-        columns = tuple(scalar_columns(df))
-        found.append(Relation(k, name, df, columns, offset))
+        places = scalar_places(df)
+        columns = tuple(df.columns[i] for i in places)
+        by_place = df.toDF(*(f"x{i}" for i in range(len(df.columns)))).select(*(F.col(f"x{i}").alias(f"c{k}") for k, i in enumerate(places)))
+        found.append(Relation(k, name, by_place, columns, offset))
         offset += len(columns)
     return found
 

@@ -1,8 +1,9 @@
 """From rows to key counts, and from key counts to signatures.
 
-A signature is the set of attributes that share a key.  Counts summed by signature and attribute are
-all that statistics, overlaps and violations need, and there are few of them, so the data are read
-and shuffled once a layer and every later join is over attributes, not values.
+A signature is the set of attributes that share a key, known by 96 bits of hash.  Counts summed by
+signature and attribute are all that statistics, overlaps and violations need, and there are few of
+them, so the data are read and shuffled once a layer and every later join is over attributes, not
+values.  The set itself never travels with a key's members: a signature's rows are its members.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SALTS = 64
 
 def cells(relation: Relation, config: DiscoveryConfig, needed: set[int] | None = None) -> DataFrame:
     """A row's cells as array<string>; columns that no attribute needs are null and not read."""
-    values = [normalized(relation.df[c], config) if needed is None or i in needed else F.lit(None).cast("string") for i, c in enumerate(relation.columns)]
+    values = [normalized(F.col(f"c{i}"), config) if needed is None or i in needed else F.lit(None).cast("string") for i in range(len(relation.columns))]
     return relation.df.select(F.array(*values).alias("cells") if values else F.array().cast("array<string>").alias("cells"))
 
 
@@ -45,7 +46,7 @@ def nary_keys(relation: Relation, attrs: DataFrame, n_attrs: int, needed: set[in
     """(attr_id, key array<string>) of each row and attribute; a null component makes the key null."""
     own = attrs.filter(F.col("rel_id") == relation.id)
     if n_attrs <= INLINE_ATTRIBUTES:
-        cell = {i: normalized(relation.df[relation.columns[i]], config) for i in needed}
+        cell = {i: normalized(F.col(f"c{i}"), config) for i in needed}
         rows = relation.df.select(*(c.alias(f"c{i}") for i, c in cell.items()))
         made = [F.struct(F.lit(i).cast("long").alias("attr_id"), _key(cols).alias("key")) for i, cols in own.select("attr_id", "cols").collect()]
         return rows.select(F.explode(F.array(*made)).alias("a")).select("a.attr_id", "a.key")
@@ -70,8 +71,10 @@ def value_groups(counts: DataFrame) -> DataFrame:
 
 
 def signatures(groups: DataFrame) -> DataFrame:
-    """(signature: attr_ids that share keys, is_null, attr_id, n: rows, keys: distinct keys)."""
-    rows = groups.select(F.col("members.attr_id").alias("signature"), F.col("key").isNull().alias("is_null"), F.explode("members").alias("m"))
+    """(signature: of attr_ids that share keys, is_null, attr_id, n: rows, keys: distinct keys)."""
+    own = F.col("members.attr_id")
+    signature = F.struct(F.xxhash64(own).alias("a"), F.hash(own).alias("b"))
+    rows = groups.select(signature.alias("signature"), F.col("key").isNull().alias("is_null"), F.explode("members").alias("m"))
     return rows.groupBy("signature", "is_null", F.col("m.attr_id").alias("attr_id")).agg(F.sum("m.n").alias("n"), F.count(F.lit(1)).alias("keys"))
 
 
@@ -86,8 +89,18 @@ def attribute_stats(attrs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def overlaps(sigs: DataFrame) -> DataFrame:
     """(dep_id, ref_id, n: rows of dep whose key ref has, keys), for pairs that share a key."""
-    rows = sigs.filter("NOT is_null AND size(signature) > 1").select(F.col("attr_id").alias("dep_id"), F.explode("signature").alias("ref_id"), "n", "keys")
-    return rows.filter("dep_id <> ref_id").groupBy("dep_id", "ref_id").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
+    rows = sigs.filter("NOT is_null")
+    refs = rows.select("signature", F.col("attr_id").alias("ref_id"))
+    pairs = rows.withColumnRenamed("attr_id", "dep_id").join(refs, "signature").filter("dep_id <> ref_id")
+    return pairs.groupBy("dep_id", "ref_id").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
+
+
+def overlaps_of(sigs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """As overlaps, of candidates (dep_id, ref_id) only: a signature's other pairs are never made."""
+    rows = sigs.filter("NOT is_null")
+    asked = rows.withColumnRenamed("attr_id", "dep_id").join(candidates.select("dep_id", "ref_id"), "dep_id")
+    met = asked.join(rows.select("signature", F.col("attr_id").alias("ref_id")), ["signature", "ref_id"], "left_semi")
+    return met.groupBy("dep_id", "ref_id").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
 
 
 def mask(keys: DataFrame, live: DataFrame) -> DataFrame:

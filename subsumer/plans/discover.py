@@ -14,7 +14,7 @@ from ..operators import candidates as C
 from ..operators import keys as K
 from ..operators import validity as V
 from ..operators.catalog import Relation, attribute_catalog, names_of, relations_of, with_names
-from .staging import stage
+from .staging import discard, stage
 
 
 @dataclass
@@ -39,6 +39,11 @@ class Discovery:
     relations: list[Relation]
     layers: list[Layer] = field(default_factory=list)
 
+    def clean(self) -> None:
+        """Delete the tables of all layers; what has not been written or collected by then is gone."""
+        for layer in self.layers:
+            discard(layer.stats, layer.counted)
+
     def described(self) -> DataFrame:
         """Valid pairs of all layers, each side as relation, columns (array) and rendered list."""
         spark = self.relations[0].df.sparkSession
@@ -69,7 +74,9 @@ def judged(arity: int, attrs: DataFrame, n_attributes: int, candidates: DataFram
     """One pass over the data for the signatures; the rest is over attributes."""
     sigs = stage(layer_signatures(keys), f"signatures{arity}")
     stats = stage(K.attribute_stats(attrs, sigs), f"stats{arity}")
-    counted = stage(V.violations(candidates, stats, K.overlaps(sigs), config), f"counted{arity}")
+    shared = K.overlaps(sigs) if arity == 1 else K.overlaps_of(sigs, candidates)
+    counted = stage(V.violations(candidates, stats, shared, config), f"counted{arity}")
+    discard(sigs)
     held = V.valid(counted, config)
     return Layer(arity, stats, counted, held, n_attributes, n_candidates, held.count(), time.monotonic() - began)
 
@@ -84,8 +91,8 @@ def first_layer(spark: SparkSession, relations: list[Relation], config: Discover
 def next_layer(layer: Layer, index: DataFrame, relations: list[Relation], config: DiscoveryConfig) -> Layer | None:
     """The layer of one column more, or None if there is no candidate."""
     began, arity = time.monotonic(), layer.arity + 1
-    pairs = C.described(layer.valid, layer.stats)
-    longer = stage(C.closed(C.extensions(pairs, index), pairs, arity), f"candidates{arity}")
+    pairs = C.extensions(C.described(layer.valid, layer.stats), index)
+    longer = stage(C.closed(pairs, C.described(layer.valid, layer.stats, with_rows=False), arity), f"candidates{arity}")
     attrs = stage(C.interned(longer), f"attributes{arity}")
     # a row for each relation, and for each of its columns in use: no more than the schemas have
     sizes = {r["rel_id"]: r["count"] for r in attrs.groupBy("rel_id").count().collect()}
@@ -93,7 +100,9 @@ def next_layer(layer: Layer, index: DataFrame, relations: list[Relation], config
         return None
     columns = {tuple(r) for r in attrs.select("rel_id", F.explode("cols")).distinct().collect()}
     keys = [K.nary_keys(r, attrs, sizes[r.id], {c for k, c in columns if k == r.id}, config) for r in relations if r.id in sizes]
-    return judged(arity, attrs, sum(sizes.values()), C.as_ids(longer, attrs), longer.count(), keys, config, began)
+    found = judged(arity, attrs, sum(sizes.values()), C.as_ids(longer, attrs), longer.count(), keys, config, began)
+    discard(longer, attrs)
+    return found
 
 
 def discover(tables: dict[str, DataFrame], config: DiscoveryConfig = DiscoveryConfig()) -> Discovery:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ from .operators import candidates as C
 from .operators import keys as K
 from .operators import validity as V
 from .operators.catalog import attribute_catalog, names_of, relations_of, with_names
-from .plans.discover import discover, first_layer, layer_signatures
+from .plans.discover import discover, first_layer, layer_signatures, next_layer
 from .plans.report import nested
-from .plans.staging import stage
-from .sources import from_parquet
+from .plans.staging import shared_dir, stage
+from .sources import from_parquet, read_delimited
 
 #: The default catalogue, columns in the order of the tables.
 SCHEMA = {
@@ -52,6 +53,37 @@ NULL_SQL = """
     items AS (SELECT nullif(l_linenumber, 1) AS line, l_suppkey AS supp, NULL::VARCHAR AS none FROM lineitem),
     keys AS (SELECT nullif(s_suppkey, 1) AS supp, s_nationkey AS nation FROM supplier),
     nations AS (SELECT n_nationkey AS nation, nullif(n_regionkey, 0) AS region FROM nation)"""
+
+
+def with_pair_nulls(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Order and line number of all items: with nulls in the second column, in the first, and in neither."""
+    items = tables(spark, sf_dir, ["lineitem"])["lineitem"]
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return {
+        "no_line": items.select(order.alias("o"), F.nullif(line, F.lit(7)).alias("n")),
+        "no_order": items.select(F.nullif(order, F.lit(1)).alias("o"), line.alias("n")),
+        "whole": items.select(order.alias("o"), line.alias("n")),
+    }
+
+
+PAIR_NULL_SQL = """
+    no_line AS (SELECT l_orderkey AS o, nullif(l_linenumber, 7) AS n FROM lineitem),
+    no_order AS (SELECT nullif(l_orderkey, 1) AS o, l_linenumber AS n FROM lineitem),
+    whole AS (SELECT l_orderkey AS o, l_linenumber AS n FROM lineitem)"""
+PAIR_NULL_COLUMNS = {"no_line": ["o", "n"], "no_order": ["o", "n"], "whole": ["o", "n"]}
+
+
+def triples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Three columns of all items, twice, in another order."""
+    items = tables(spark, sf_dir, ["lineitem"])["lineitem"]
+    order, part, line = F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n")
+    return {"here": items.select(order, part, line), "there": items.select(line, order, part)}
+
+
+TRIPLE_SQL = """
+    here AS (SELECT l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem),
+    there AS (SELECT l_linenumber AS n, l_orderkey AS o, l_partkey AS p FROM lineitem)"""
+TRIPLE_COLUMNS = {"here": ["o", "p", "n"], "there": ["n", "o", "p"]}
 NULL_COLUMNS = {"items": ["line", "supp", "none"], "keys": ["supp", "nation"], "nations": ["nation", "region"]}
 
 
@@ -81,13 +113,17 @@ def unary_sql(columns: dict[str, list[str]], threshold: float = 1.0, aware: bool
         held AS (SELECT * FROM counted WHERE viol <= cap)"""
 
 
-def pairs_sql(threshold: float) -> str:
+def pairs_sql(threshold: float, aware: bool = True, columns=COLUMNS, nulls: str = "subset") -> str:
     """CTEs after unary_sql: the second level, ``nary_counted`` and ``nary_held``."""
-    places = ", ".join(f"('{t}.{c}', '{t}', {i})" for t, cs in COLUMNS.items() for i, c in enumerate(cs))
+    places = ", ".join(f"('{t}.{c}', '{t}', {i})" for t, cs in columns.items() for i, c in enumerate(cs))
+    cell = "coalesce({}::VARCHAR, '')" if nulls == "equality" else "{}::VARCHAR"
     rows = " UNION ALL ".join(
-        f"SELECT '{t}' AS rel, k, unnest([{', '.join(str(i) for i in range(len(cs)))}]) AS col, unnest([{', '.join(c + '::VARCHAR' for c in cs)}]) AS v FROM (SELECT *, row_number() OVER () AS k FROM {t})"
-        for t, cs in COLUMNS.items()
+        f"SELECT '{t}' AS rel, k, unnest([{', '.join(str(i) for i in range(len(cs)))}]) AS col, unnest([{', '.join(cell.format(c) for c in cs)}]) AS v FROM (SELECT *, row_number() OVER () AS k FROM {t})"
+        for t, cs in columns.items()
     )
+    size, weight = ("n_rows", "d.n") if aware else ("n_distinct", "1")
+    extra = " + p.n_null" if nulls == "inequality" else ""
+    whole = "JOIN pair_stats q ON q.rel = rr AND q.c1 = r1 AND q.c2 = r2 AND q.n_null = 0" if nulls == "foreign" else ""
     return f"""
         places(attr, rel, col) AS (VALUES {places}),
         u1 AS (SELECT d.rel AS dr, d.col AS dc, r.rel AS rr, r.col AS rc
@@ -100,12 +136,15 @@ def pairs_sql(threshold: float) -> str:
         pair_kv AS (SELECT sides.rel AS rel, c1, c2, x.v AS v1, y.v AS v2, count(*)::BIGINT AS n
                     FROM sides JOIN rowcells x ON x.rel = sides.rel AND x.col = c1 JOIN rowcells y ON y.rel = sides.rel AND y.col = c2 AND y.k = x.k
                     WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY sides.rel, c1, c2, v1, v2),
-        pair_stats AS (SELECT rel, c1, c2, sum(n)::BIGINT AS n_rows, count(*)::BIGINT AS n_distinct FROM pair_kv GROUP BY rel, c1, c2),
-        pair_shared AS (SELECT nary.*, coalesce(sum(d.n) FILTER (r.rel IS NOT NULL), 0)::BIGINT AS n
-                        FROM nary JOIN pair_kv d ON d.rel = dr AND d.c1 = d1 AND d.c2 = d2
+        pair_stats AS (SELECT sides.rel AS rel, sides.c1 AS c1, sides.c2 AS c2, coalesce(sum(n), 0)::BIGINT AS n_rows, count(n)::BIGINT AS n_distinct,
+                              (any_value(t.total) - coalesce(sum(n), 0))::BIGINT AS n_null
+                       FROM sides JOIN (SELECT rel, count(DISTINCT k) AS total FROM rowcells GROUP BY rel) t ON t.rel = sides.rel
+                       LEFT JOIN pair_kv p ON p.rel = sides.rel AND p.c1 = sides.c1 AND p.c2 = sides.c2 GROUP BY sides.rel, sides.c1, sides.c2),
+        pair_shared AS (SELECT nary.*, coalesce(sum({weight}) FILTER (r.rel IS NOT NULL), 0)::BIGINT AS n
+                        FROM nary LEFT JOIN pair_kv d ON d.rel = dr AND d.c1 = d1 AND d.c2 = d2
                         LEFT JOIN pair_kv r ON r.rel = rr AND r.c1 = r1 AND r.c2 = r2 AND r.v1 = d.v1 AND r.v2 = d.v2 GROUP BY ALL),
-        nary_counted AS (SELECT s.*, p.n_rows AS size, trunc((1.0::DOUBLE - {threshold}::DOUBLE) * p.n_rows)::BIGINT AS cap, p.n_rows - s.n AS viol
-                         FROM pair_shared s JOIN pair_stats p ON p.rel = dr AND p.c1 = d1 AND p.c2 = d2),
+        nary_counted AS (SELECT s.*, p.{size} AS size, trunc((1.0::DOUBLE - {threshold}::DOUBLE) * p.{size})::BIGINT AS cap, p.{size} - s.n{extra} AS viol
+                         FROM pair_shared s JOIN pair_stats p ON p.rel = dr AND p.c1 = d1 AND p.c2 = d2 {whole}),
         nary_held AS (SELECT * FROM nary_counted WHERE viol <= cap)"""
 
 
@@ -196,14 +235,30 @@ def unpivot_values(spark, sf_dir):
     return named(spark, relations, keys, {"attr_id": "attr"}).select("attr", F.col("key").alias("v"))
 
 
-def value_counts(spark, sf_dir):
-    relations = relations_of(tables(spark, sf_dir, ["orders"]))
-    counts = K.value_counts(K.unary_keys(relations[0], DiscoveryConfig()))
+def value_counts_of(spark, sf_dir, names):
+    relations = relations_of(tables(spark, sf_dir, names))
+    counts = K.value_counts(reduce(DataFrame.union, [K.unary_keys(r, DiscoveryConfig()) for r in relations]))
     return named(spark, relations, counts, {"attr_id": "attr"}).select("attr", F.col("key").alias("v"), "n")
 
 
+def value_counts(spark, sf_dir):
+    return value_counts_of(spark, sf_dir, ["orders"])
+
+
+def value_counts_all(spark, sf_dir):
+    return value_counts_of(spark, sf_dir, list(SCHEMA))
+
+
 def value_groups(spark, sf_dir):
-    relations = relations_of(tables(spark, sf_dir, SMALL))
+    return value_groups_of(spark, sf_dir, SMALL)
+
+
+def value_groups_all(spark, sf_dir):
+    return value_groups_of(spark, sf_dir, list(SCHEMA))
+
+
+def value_groups_of(spark, sf_dir, names):
+    relations = relations_of(tables(spark, sf_dir, names))
     groups = K.value_groups(K.value_counts(reduce(DataFrame.union, [K.unary_keys(r, DiscoveryConfig()) for r in relations])))
     rows = named(spark, relations, groups.select("key", F.explode("members.attr_id").alias("attr_id")), {"attr_id": "attr"})
     return rows.groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_list("attr"))).alias("attrs")).select(F.col("key").alias("v"), "attrs")
@@ -270,6 +325,46 @@ def nary_candidates_2(spark, sf_dir):
     return longer.select("dep", "ref")
 
 
+def nary_candidates_3(spark, sf_dir):
+    """Three-column candidates from the two-column dependencies that hold."""
+    relations = relations_of(triples(spark, sf_dir))
+    first = first_layer(spark, relations, DiscoveryConfig(PARTIAL))
+    index = C.unary_index(first.valid, first.stats)
+    second = next_layer(first, index, relations, DiscoveryConfig(PARTIAL))
+    pairs = C.described(second.valid, second.stats)
+    longer = C.closed(C.extensions(pairs, index), C.described(second.valid, second.stats, with_rows=False), 3)
+    names = names_of(spark, relations)
+    for side in ("dep", "ref"):
+        own = longer.select(F.col(f"{side}_rel").alias("rel_id"), F.col(f"{side}_cols").alias("cols")).distinct()
+        shown = with_names(own, names).select(F.col("rel_id").alias(f"{side}_rel"), F.col("cols").alias(f"{side}_cols"), F.col("attr").alias(side))
+        longer = longer.join(shown, [f"{side}_rel", f"{side}_cols"])
+    return longer.select("dep", "ref")
+
+
+def nary_counted(config):
+    """All two-column candidates of tables with nulls, with their violations."""
+
+    def query(spark, sf_dir):
+        relations = relations_of(with_pair_nulls(spark, sf_dir))
+        first = first_layer(spark, relations, config)
+        second = next_layer(first, C.unary_index(first.valid, first.stats), relations, config)
+        attrs = with_names(second.stats.select("attr_id", "rel_id", "cols"), names_of(spark, relations)).select("attr_id", "attr")
+        return second.counted.join(attrs.toDF("dep_id", "dep"), "dep_id").join(attrs.toDF("ref_id", "ref"), "ref_id").select("dep", "ref", "size", "cap", "viol")
+
+    return query
+
+
+RAGGED = ["a,b,c", '1,,"x"', '2,"",y', "3,z", "4,q,r,s", '5, lead,"l1\nl2"']
+
+
+def ragged_skip(spark, sf_dir):
+    """A delimited file, written here, whose rows 3 and 4 have too few and too many fields."""
+    path = f"{shared_dir(spark)}/subsumer/ragged-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([("\n".join(RAGGED),)], "value string").coalesce(1)
+    rows.write.text(path)
+    return read_delimited(spark, path)
+
+
 def nary_attrs(spark, sf_dir):
     relations, longer = second_candidates(spark, sf_dir, PARTIAL)
     return with_names(C.interned(longer).select("rel_id", "cols"), names_of(spark, relations)).select("attr")
@@ -304,9 +399,9 @@ def nary_null_rows(spark, sf_dir):
     return rows.groupBy("attr_id", F.col("key").isNull().alias("is_null")).agg(F.sum("n").alias("n"))
 
 
-def nary_held(threshold):
+def nary_held(threshold, duplicates=Duplicates.AWARE):
     def query(spark, sf_dir):
-        found = discover(tables(spark, sf_dir), DiscoveryConfig(threshold, max_nary=2)).table()
+        found = discover(tables(spark, sf_dir), DiscoveryConfig(threshold, max_nary=2, duplicates=duplicates)).table()
         return found.filter("layer = 2").select("dep", "ref", "size", "cap", "viol")
 
     return query
@@ -368,6 +463,9 @@ QUERIES = {
     **{f.__name__: f for f in (nary_candidates_2, nary_attrs, apriori_check, nary_keys, nary_null_rows, live_value_mask, live_value_mask_all, layer_summary, report_nested, report_nested_2)},
     "nary_exact_2": nary_held(1.0),
     "nary_partial_2": nary_held(PARTIAL),
+    "nary_unaware_2": nary_held(PARTIAL, Duplicates.UNAWARE),
+    **{f.__name__: f for f in (value_counts_all, value_groups_all, nary_candidates_3, ragged_skip)},
+    **{f"nary_{k}": nary_counted(c) for k, c in NULL_CONFIGS.items()},
 }
 
 _EXACT, _PART = unary_sql(COLUMNS), unary_sql(COLUMNS, PARTIAL)
@@ -387,6 +485,8 @@ ORACLE_SQL = {
     "attr_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {list(COLUMNS).index(t)}, '{t}', '{t}.{c}')" for i, (t, c) in enumerate(_CATALOG)) + ") AS x(attr_id, rel_id, rel, attr)",
     "unpivot_values": cells_sql({t: COLUMNS[t] for t in SMALL}),
     "value_counts": f"SELECT attr, v, count(*) AS n FROM ({cells_sql({'orders': COLUMNS['orders']})}) GROUP BY ALL",
+    "value_counts_all": f"SELECT attr, v, count(*) AS n FROM ({cells_sql(COLUMNS)}) GROUP BY ALL",
+    "value_groups_all": f"SELECT v, string_agg(attr, ',' ORDER BY attr) AS attrs FROM (SELECT DISTINCT attr, v FROM ({cells_sql(COLUMNS)})) GROUP BY v",
     "value_groups": f"SELECT v, string_agg(attr, ',' ORDER BY attr) AS attrs FROM (SELECT DISTINCT attr, v FROM ({cells_sql({t: COLUMNS[t] for t in SMALL})})) GROUP BY v",
     "attr_stats": f"{_EXACT} SELECT attr, n_rows, n_distinct FROM stats",
     "null_counts": f"{_NULLS} SELECT * FROM stats",
@@ -431,5 +531,20 @@ ORACLE_SQL = {
                   JOIN names p ON p.rel = dr AND p.col = d1 JOIN names q ON q.rel = dr AND q.col = d2 JOIN names r ON r.rel = rr AND r.col = r1 JOIN names s ON s.rel = rr AND s.col = r2)
         SELECT layer, relation, dependant, string_agg(ref, ';' ORDER BY ref) AS referenced FROM found GROUP BY ALL""",
     "nary_exact_2": f"{_EXACT}, {pairs_sql(1.0)} {NARY_NAMES.format(more=', x.size, cap, viol', source='nary_held')}",
+    "nary_unaware_2": f"{_UNAWARE}, {pairs_sql(PARTIAL, aware=False)} {NARY_NAMES.format(more=', x.size, cap, viol', source='nary_held')}",
+    **{
+        f"nary_{k}": f"{unary_sql(PAIR_NULL_COLUMNS, 0.8, nulls=c.nulls.value, more=PAIR_NULL_SQL)}, {pairs_sql(0.8, columns=PAIR_NULL_COLUMNS, nulls=c.nulls.value)} {NARY_NAMES.format(more=', x.size, cap, viol', source='nary_counted')}"
+        for k, c in NULL_CONFIGS.items()
+    },
+    "nary_candidates_3": f"""{unary_sql(TRIPLE_COLUMNS, PARTIAL, more=TRIPLE_SQL)}, {pairs_sql(PARTIAL, columns=TRIPLE_COLUMNS)},
+        longer AS (SELECT DISTINCT n.dr, n.rr, n.d1, n.d2, n.r1, n.r2, z.dc AS d3, z.rc AS r3 FROM nary_held n JOIN u1 z USING (dr, rr)
+                   WHERE n.size > 0 AND z.dc > d2 AND z.rc NOT IN (r1, r2) AND (dr <> rr OR (z.rc NOT IN (d1, d2) AND r1 <> z.dc AND r2 <> z.dc AND z.rc <> z.dc))),
+        names(rel, col, name) AS (SELECT rel, col, attr FROM places)
+        SELECT a.name || ',' || b.name || ',' || c.name AS dep, x.name || ',' || y.name || ',' || z.name AS ref FROM longer l
+        JOIN names a ON a.rel = dr AND a.col = d1 JOIN names b ON b.rel = dr AND b.col = d2 JOIN names c ON c.rel = dr AND c.col = d3
+        JOIN names x ON x.rel = rr AND x.col = r1 JOIN names y ON y.rel = rr AND y.col = r2 JOIN names z ON z.rel = rr AND z.col = r3
+        WHERE EXISTS (SELECT 1 FROM nary_held n WHERE n.dr = l.dr AND n.rr = l.rr AND n.d1 = l.d1 AND n.d2 = l.d3 AND n.r1 = l.r1 AND n.r2 = l.r3)
+          AND EXISTS (SELECT 1 FROM nary_held n WHERE n.dr = l.dr AND n.rr = l.rr AND n.d1 = l.d2 AND n.d2 = l.d3 AND n.r1 = l.r2 AND n.r2 = l.r3)""",
+    "ragged_skip": "SELECT * FROM (VALUES ('1', NULL, 'x'), ('2', NULL, 'y'), ('5', 'lead', 'l1' || chr(10) || 'l2')) AS t(a, b, c)",
     "nary_partial_2": f"{_PART}, {pairs_sql(PARTIAL)} {NARY_NAMES.format(more=', x.size, cap, viol', source='nary_held')}",
 }

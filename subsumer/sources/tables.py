@@ -12,9 +12,9 @@ RAGGED = "_ragged"
 SCALARS = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def scalar_columns(df: DataFrame) -> list[str]:
-    """Columns that can be keys; nested and binary ones can't."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, SCALARS)]
+def scalar_places(df: DataFrame) -> list[int]:
+    """Places of the columns that can be keys; nested and binary ones can't."""
+    return [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, SCALARS)]
 
 
 def from_parquet(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -26,7 +26,7 @@ def _options(dialect: Dialect) -> dict:
         "sep": dialect.separator,
         "quote": dialect.quote,
         "escape": dialect.escape,
-        "multiLine": True,
+        "multiLine": dialect.multi_line,
         "ignoreLeadingWhiteSpace": dialect.ignore_leading_space,
         "nullValue": dialect.null_string,
         "emptyValue": "",

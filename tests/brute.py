@@ -54,7 +54,7 @@ def discover(tables, threshold=1.0, nulls="subset", aware=True, max_nary=None, n
                     continue
                 dd, rr = (dt, (*d[1], x)), (rt, (*r[1], y))
                 drop = lambda a, s: (a[0], a[1][:s] + a[1][s + 1 :])
-                if all((drop(dd, s), drop(rr, s)) in valid and fact(drop(dd, s))[1] for s in range(layer)):
+                if all((drop(dd, s), drop(rr, s)) in valid for s in range(layer)):
                     longer.add((dd, rr))
         valid = {pair: found for pair in longer if (found := check(*pair))}
         layer += 1

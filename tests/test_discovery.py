@@ -62,6 +62,31 @@ def test_keys_are_injective_and_levels_are_kept(spark):
     assert [r[:3] for r in found if r[0] == 2] == [(2, "R.p,R.q", "D.x,D.y")]
 
 
+def test_pairs_without_rows_count_in_the_subset_check(spark):
+    rows = [("1", "x", None), (None, "y", "z")]
+    tables = {"s": (["a", "b", "c"], rows), "t": (["p", "q", "r"], rows)}
+    found = ours(spark, tables)
+    assert found == brute.discover(tables)
+    assert {r[1:3] for r in found if r[0] == 3} == {("s.a,s.b,s.c", "t.p,t.q,t.r"), ("t.p,t.q,t.r", "s.a,s.b,s.c")}
+
+
+def test_columns_are_known_by_place(spark):
+    """Names with a dot, repeated, or that differ in case only."""
+    rows = [("1", "a", "u"), ("2", "b", "v")]
+    one = spark.createDataFrame(rows, "x string, y string, z string").toDF("a.b", "k", "k")
+    two = spark.createDataFrame(rows, "x string, y string, z string").toDF("c", "C", "d`e")
+    found = discover({"one": one, "two": two}, DiscoveryConfig(max_nary=2)).table()
+    got = {(r.layer, r.dep, r.ref) for r in found.collect()}
+    assert {(1, "one.a.b", "two.c"), (2, "one.a.b,one.k", "two.c,two.C"), (2, "one.k,one.k", "two.C,two.d`e")} <= got
+
+
+def test_a_value_that_very_many_columns_share(spark):
+    """Signatures of hundreds of attributes, and only candidate pairs beyond the first layer."""
+    wide = {f"w{k}": spark.createDataFrame([tuple(["0"] * 40)], ", ".join(f"c{i} string" for i in range(40))) for k in range(3)}
+    layer = discover(wide, DiscoveryConfig(max_nary=1)).layers[0]
+    assert (layer.n_candidates, layer.n_valid) == (120 * 119, 120 * 119)
+
+
 def test_cap_is_truncated_and_degrees(spark):
     tables = {"g": (["k"], [(str(i),) for i in range(10)]), "h": (["k"], [(str(i),) for i in range(9)])}
     assert [r[1] for r in ours(spark, tables, 0.9)] == ["h.k"]
