@@ -12,15 +12,16 @@ component is named by its smallest identifier.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, release, slices, stage, text_of
+from .common import discard, lower_ascii, release, sieve, sifted, slices, stage, text_of
 from .components import components
 
 SEED = 42
@@ -215,26 +216,32 @@ def near_duplicates(docs: DataFrame, size: int = 3, k: int = 2, bands: int = 4,
 
 # ------------------------------------------------------------- near copies at a Jaccard similarity
 
-SKETCH = 4  # words of a sketch
+SKETCH, WIDE = 4, 32  # words of a sketch, and of the one that single pairs are compared by
 SAMPLE, FREQUENT = 8000, 65_536  # texts sampled for shingles that are common, and most of them
+HELD = 1 << 18  # pairs of a task held to tell repeated ones
 BLOCK = 1024  # larger runs are dealt into blocks of about so many, and each pair of blocks compared
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH longs of parities: two sets differ in as many shingles as their sketches in bits, or more."""
-    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
-    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").view(np.int64)
+def sketch(shingles: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Longs of parities: two sets differ in as many shingles as their sketches in bits, or more."""
+    counts = np.bincount((shingles >> np.uint64(48)).astype(np.int64) % (64 * words), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+SPARE = 0.05  # of a set's shingles: by so many its prefix is longer than one shared shingle needs
+STARS = 2  # rounds of stars around random members, after those around the least
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """As many of the rarest shingles as any set of that similarity must share one of (of its own prefix).
+    """As many of the rarest shingles as any set of that similarity must share one of (of its own prefix),
+    and spare ones: two such sets a and b share 1 + min(spare(a), spare(b)) of their prefixes.
 
     common: sorted hashes of shingles that come last, in the order of ranks.  Any order is exact.
     """
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         shingles = shingles[np.argsort(np.where(common[at] == shingles, ranks[at], 0), kind="stable")]
-    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]
+    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 + int(SPARE * len(shingles))]
 
 
 def _common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +270,8 @@ def _prefixes(size: int, similarity: float, common):
             words = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), np.int64)
             keys = pa.array([prefix(s, similarity, hashes, ranks).view(np.int64) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(words[:, k]) for k in range(SKETCH)), keys], ["node", "n", *(f"w{k}" for k in range(SKETCH)), "keys"])
+            wide = pa.array([sketch(s, WIDE) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(words[:, k]) for k in range(SKETCH)), wide, keys], ["node", "n", *(f"w{k}" for k in range(SKETCH)), "wide", "keys"])
 
     return run
 
@@ -303,7 +311,7 @@ def _cross_pairs(similarity: float):
     on are too few is left to the first key that it shares.
     """
 
-    def run(batches):
+    def found(batches):
         for (_, low, high, block, node, n, place, group, *words), starts in _whole_runs(batches, 3):
             sizes = np.diff(np.append(starts, len(node)))
             remaining = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node)) - 1
@@ -316,13 +324,33 @@ def _cross_pairs(similarity: float):
                     both = n[i] + n[j]
                     need = np.ceil(both * similarity / (1 + similarity) - 1e-9)  # shingles to be shared
                     bits = sum((np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in words), np.zeros(len(i), np.int64))
-                    near = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (bits <= both - 2 * need)
+                    spare = np.floor(SPARE * np.minimum(n[i], n[j]))  # as many shared ones before may have been left out
+                    near = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need - spare) & (bits <= both - 2 * need)
                     a, b = node[i[near]], node[j[near]]
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                        yield np.minimum(a, b), np.maximum(a, b)
                 step += 1
                 at = at[remaining[at] >= step]
 
+    def run(batches):
+        """Texts that share many keys come up again and again: once each, as far as HELD pairs go."""
+        none = np.zeros(0, np.int64)
+        a, b, more, n = none, none, [], 0
+        for pair in _with_end(found(batches)):
+            if pair is not None:
+                more.append(pair)
+                n += len(pair[0])
+                if n < HELD:
+                    continue
+            a, b = (np.concatenate([x, *(p[k] for p in more)]) for k, x in enumerate((a, b)))
+            order = np.lexsort((b, a))
+            a, b, more, n = a[order], b[order], [], 0
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            a, b = a[new], b[new]
+            if len(a) and (pair is None or len(a) >= HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b = none, none
+
     return run
 
 
@@ -338,11 +366,13 @@ def _shingle_sets(size: int):
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts linked by a Jaccard similarity of word-shingle sets of ``similarity`` or more.
 
-    The search loses no pair: two such sets share one of their rarest shingles (prefix filter), and
-    pairs are discarded only by their sizes, the places of the shared shingle and the bits in which
+    The search loses no pair: two such sets share some of their rarest shingles (prefix filter), also
+    after each has left out those of its keys that most texts have (fewer, for both, than they share),
+    and pairs are discarded only by their sizes, the places of the shared shingle and the bits in which
     their sketches differ, all of which bound the shingles they share.  First each text is compared
-    with the least node of each of its keys; then all pairs that are not in one group yet, where
-    keys of many nodes are compared by pairs of blocks.  Every link is verified on the whole sets.
+    with the least node of each of its keys, then with random nodes of keys that still have several
+    groups; then all pairs that are not in one group yet, where keys of many nodes are compared by
+    pairs of blocks.  Every link is verified on the whole sets.
 
     Returns (node long, component: smallest identifier of the group, stays boolean) for texts in a
     group of two or more, where node is xxhash64(identifier, text): repeated rows share a node and a
@@ -353,19 +383,34 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, size))
     names = [f"w{k}" for k in range(SKETCH)]
     longs = ", ".join(f"{w} long" for w in names)
-    sets = stage(rows.mapInArrow(_prefixes(size, similarity, common), f"node long, n long, {longs}, keys array<long>"), "prefixes")
+    sets = stage(rows.mapInArrow(_prefixes(size, similarity, common), f"node long, n long, {longs}, wide array<long>, keys array<long>"), "prefixes")
     keyed = sets.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
     shape = "key long, node long, n long, place long, first long, members long"
-    shared = stage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, shape), "shared")
+    every = stage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, shape), "shared")
     release(docs.sparkSession)
-    bits = sets.drop("keys").distinct()
+    # each of a pair leaves out s / (1 + s) of its spare ones at most: together, no more than either has
+    common_first = Window.partitionBy("node").orderBy(F.desc("members"), "key")
+    left_out = F.floor((F.col("n") * SPARE - 1) * F.lit(similarity / (1 + similarity)))
+    shared = stage(every.withColumn("rank", F.row_number().over(common_first)).filter(F.col("rank") > left_out).drop("rank"), "shared")
+    discard(every)
+    bits = sets.drop("keys", "wide").distinct()
+
+    def ends(some: DataFrame, of, table: DataFrame) -> DataFrame:
+        """Pairs with a column of both nodes, as s and t; ``of`` makes the column from the nodes' rows."""
+        asked = sieve(some.select(F.explode(F.array("a", "b")).alias("node")), "node")  # so that other rows stay where they are
+        own = of(sifted(table, "node", asked).filter("_maybe")).dropDuplicates(["node"])
+        return some.join(own.toDF("a", "s"), "a").join(own.toDF("b", "t"), "b")
 
     def verified(some: DataFrame) -> DataFrame:
-        nodes = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
-        sets = rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_shingle_sets(size), "node long, shingles array<long>")
-        both = some.join(sets.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
+        """The pairs that are alike: first by the wide sketches, a proven bound, then by the whole sets."""
+        pairs = ends(some, lambda r: r.select("node", F.struct("n", "wide")), sets)
+        bits_apart = F.aggregate(F.zip_with("s.wide", "t.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        near = stage(pairs.filter(bits_apart <= (F.col("s.n") + F.col("t.n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)).select("a", "b"), "near")
+        both = ends(near, lambda r: r.select("node", "text").mapInArrow(_shingle_sets(size), "node long, shingles array<long>"), rows)
         shared = F.size(F.array_intersect("s", "t"))
-        return stage(both.filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b"), "links")
+        found = stage(both.filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b"), "links")
+        discard(near)
+        return found
 
     stars = shared.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     left = bits.select(F.col("node").alias("a"), F.col("n").alias("m"), *(F.col(w).alias(f"x{k}") for k, w in enumerate(names)))
@@ -373,21 +418,41 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(SKETCH)), F.lit(0))
     most = (F.col("m") + F.col("n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
     stars = stars.join(left, "a").join(right, "b").filter((apart <= most) & (F.abs(F.col("m") - F.col("n")) <= most)).select("a", "b")
-    first = verified(stage(stars, "stars"))
+    stars = stage(stars, "stars")
+    first = verified(stars)
+    discard(stars)
     release(docs.sparkSession)
-    roots = components(first)
-    named = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("root", "group")
-    grouped = bits.drop("n").join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    open_rows = stage(shared.drop("first").join(grouped, "node"), "open")
-    mixed = open_rows.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h")).filter("g <> h").select("key")
+    found, roots, told = [first], components(first), F.struct("node", "group", "n", *names)
+    for salt in range(STARS + 1):
+        named = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("root", "group")
+        grouped = bits.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        open_rows = stage(shared.drop("first", "n").join(grouped, "node"), "open")
+        centre = F.min_by(told, F.xxhash64("node", "key", F.lit(salt))).alias("c")
+        mixed = open_rows.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h"), centre).filter("g <> h")
+        if salt == STARS:
+            break
+        pairs = open_rows.join(mixed, "key").filter("group <> c.group")
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"c.{w}"))) for w in names), F.lit(0))
+        most = (F.col("n") + F.col("c.n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+        pairs = pairs.filter((apart <= most) & (F.abs(F.col("n") - F.col("c.n")) <= most)).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        pairs = stage(pairs, "stars")
+        discard(open_rows, roots)
+        found.append(verified(pairs))
+        discard(pairs)
+        release(docs.sparkSession)
+        roots = components(reduce(DataFrame.union, found))
+    mixed = mixed.select("key")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("long")
     dealt = open_rows.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "place", "group", *names)
     runs = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     rest = stage(runs.mapInArrow(_cross_pairs(similarity), "a long, b long").distinct(), "rest")
+    discard(shared, open_rows, roots)
     release(docs.sparkSession)
-    roots = components(first.union(verified(rest)))
+    last = verified(rest)
+    roots = components(reduce(DataFrame.union, [*found, last]))
+    discard(*found, last, rest, sets)
     members = roots.union(roots.select("root", "root").distinct())
     ids = own.select("node", "doc_id").join(members, "node").distinct()
     stay = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
