@@ -3,8 +3,8 @@
 Sampled splitters range-partition the texts, each partition is sorted (externally, by Spark), and
 neighbours are compared in full.  The sort key is (first characters, 64-bit hash, whole text,
 identifier): equal texts are adjacent, splitters stay small however long the texts are, and since
-the identifier is part of the splitters a text that fills a third of the table spreads over many
-partitions.  A run that crosses a partition's border is joined to its other parts by the full text
+the identifier, and after it the row's place in the input, are part of the splitters, a text that
+fills a third of the table spreads over many partitions, even if its rows repeat.  A run that crosses a partition's border is joined to its other parts by the full text
 of the border runs, of which there are two a partition.
 """
 
@@ -74,8 +74,8 @@ def content_sort(
     own = [docs[id_col].alias("_id"), *(docs[c].alias(f"_c{k}") for k, c in enumerate(carry))]
     names = ["_id", *(f"_c{k}" for k in range(len(carry)))]
     rows = docs.select(text_of(docs, text_col).alias("_text"), *own)
-    rows = rows.withColumns({"_prefix": F.substring("_text", 1, PREFIX), "_hash": F.xxhash64("_text")})
-    rows = rows.repartitionByRange("_prefix", "_hash", "_id").sortWithinPartitions("_prefix", "_hash", "_text", "_id").select("_text", *names)
+    rows = rows.withColumns({"_prefix": F.substring("_text", 1, PREFIX), "_hash": F.xxhash64("_text"), "_tail": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("_prefix", "_hash", "_id", "_tail").sortWithinPartitions("_prefix", "_hash", "_text", "_id").select("_text", *names)
     fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     found = stage(rows.mapInArrow(_runs(names), f"_kind int, _pid int, _run long, _place long, _sha binary, _edge string, {fields}"), "sorted")
 
