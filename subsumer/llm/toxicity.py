@@ -53,7 +53,9 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.list_(pa.int32()))], ["grade", "bins"])
 
 
-def fit_arrays(rows: np.ndarray, bins: np.ndarray, grades: np.ndarray, steps: int = 200, penalty: float = 1e-4) -> Model:
+def fit_arrays(
+    rows: np.ndarray, bins: np.ndarray, grades: np.ndarray, steps: int = 200, penalty: float = 1e-4, min_texts: int = MIN_TEXTS, max_features: int = MAX_FEATURES
+) -> Model:
     """Adam on the mean negative log-likelihood plus an L2 penalty; the same input, the same model.
 
     rows, bins: the entries that are 1.  grades: integers from 0.  With no row, or one
@@ -64,9 +66,9 @@ def fit_arrays(rows: np.ndarray, bins: np.ndarray, grades: np.ndarray, steps: in
         return Model(np.zeros(BINS, np.float32), np.full(top, -30.0) if top else np.array([30.0]))
     texts = np.bincount(bins, minlength=BINS)
     excess = np.bincount(bins, (grades - grades.mean())[rows], BINS)
-    z = np.where(texts >= MIN_TEXTS, np.abs(excess) / np.sqrt(np.maximum(texts, 1)), 0)
+    z = np.where(texts >= min_texts, np.abs(excess) / np.sqrt(np.maximum(texts, 1)), 0)
     chosen = np.zeros(BINS, bool)
-    chosen[np.argsort(-z, kind="stable")[:MAX_FEATURES]] = True
+    chosen[np.argsort(-z, kind="stable")[:max_features]] = True
     often = (chosen & (z > 0))[bins]
     rows, bins = rows[often], bins[often]
     used, column = np.unique(bins, return_inverse=True)
@@ -99,15 +101,21 @@ def fit_arrays(rows: np.ndarray, bins: np.ndarray, grades: np.ndarray, steps: in
     return Model(weights, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = 8000) -> Model:
-    """Fit on labelled texts.  Labels that are null or negative, or whose text is missing, don't count."""
+def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = 8000, min_texts: int = MIN_TEXTS, max_features: int = MAX_FEATURES) -> Model:
+    """Fit on labelled texts, max_fit_rows at most.
+
+    Labels that are null or negative, or whose text is missing, don't count.  A label whose identifier
+    several documents have is fitted on the least of their texts, so no more rows than labels are read.
+    Of the features, those in min_texts texts or more and of them max_features are kept.
+    """
     known = labels.filter(F.col(grade_col) >= 0).select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "grade").limit(max_fit_rows)
-    rows = docs.select(docs[id_col].alias("_id"), lower_ascii(text_of(docs, text_col)).alias("text")).join(F.broadcast(chosen), "_id").select("grade", "text")
+    rows = docs.select(docs[id_col].alias("_id"), lower_ascii(text_of(docs, text_col)).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
     got = rows.mapInArrow(_features, "grade int, bins array<int>").toArrow().combine_chunks()
     sizes = np.array([len(x) for x in got["bins"]], np.int64)
     bins = np.asarray(got["bins"].combine_chunks().flatten() if len(got) else [], np.int64)
-    return fit_arrays(np.repeat(np.arange(len(got)), sizes), bins, np.asarray(got["grade"], np.int64))
+    return fit_arrays(np.repeat(np.arange(len(got)), sizes), bins, np.asarray(got["grade"], np.int64), min_texts=min_texts, max_features=max_features)
 
 
 class _Weighted(dict):
@@ -129,7 +137,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     keep: columns of the input to return, doc_id unless given; one of them that has an output's name
     is replaced by it.  A text without words (null, empty, white space) has no features and is
-    scored by the thresholds alone.
+    scored by the thresholds alone.  Repeated rows are scored each; an empty table gives no rows.
     """
     outputs = ["expected_severity", "p_toxic", "grade"]
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in outputs]

@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -31,6 +33,55 @@ def test_severity_of_unseen_texts(spark, docs, graded):
     assert means[0] < 0.3 < means[1] < means[2]
 
 
+def test_scores_of_three_grades_by_hand(spark, docs, graded, odd):
+    """The whole chain for each text in plain Python: words, features, both thresholds, expected grade."""
+    rows = [(i, t) for i, t, _ in graded[:300]] + odd
+    labels = spark.createDataFrame([(i, g) for i, _, g in graded[:250]], "doc_id long, toxic int")
+    model = toxicity.fit(docs(rows), labels)
+    want = []
+    for i, t in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()
+        bins = set()
+        for word in low.split():
+            bare = word.strip(bytes(c for c in range(33, 127) if not chr(c).isalnum())) or word
+            bins |= {zlib.crc32(bare) % toxicity.BINS} | {zlib.crc32(bare[:n], n) % toxicity.BINS for n in (4, 5, 6) if len(bare) >= n}
+        score = sum(float(model.weights[b]) for b in sorted(bins))
+        above = [1 / (1 + math.exp(theta - score)) for theta in model.thresholds]
+        shares = [1 - above[0], above[0] - above[1], above[1]]
+        want.append((repr(i), sum(above), above[0], shares.index(max(shares))))
+    got = [(repr(r.doc_id), r.expected_severity, r.p_toxic, r.grade) for r in toxicity.score(docs(rows), model).collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert (a[0], a[3]) == (b[0], b[3]) and a[1:3] == pytest.approx(b[1:3], abs=1e-9)
+
+
+def test_the_fit_is_a_minimum_and_repeated_identifiers_count_once(spark, docs, graded):
+    labels = spark.createDataFrame([(i, g) for i, _, g in graded], "doc_id long, toxic int")
+    rows = [(i, t) for i, t, _ in graded]
+    model = toxicity.fit(docs(rows), labels)
+    again = toxicity.fit(docs(rows + rows[:200]), labels)
+    assert np.allclose(model.weights, again.weights, atol=1e-5) and np.allclose(model.thresholds, again.thresholds, atol=1e-5)
+    bins = [sorted({b for w in set(t.lower().encode().split()) for b in toxicity.word_bins(w)}) for _, t in rows]
+    grades = np.array([g for _, _, g in graded])
+    flat = np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.array([x for b in bins for x in b])
+    model = toxicity.fit_arrays(*flat, grades, steps=3000, penalty=0.01)
+
+    def loss(weights, thresholds):
+        scores = np.array([weights[b].sum() for b in bins], float)
+        below = 1 / (1 + np.exp(scores[:, None] - thresholds[None, :]))
+        cdf = np.concatenate([np.zeros((len(bins), 1)), below, np.ones((len(bins), 1))], 1)
+        each = np.arange(len(bins))
+        return -np.log(cdf[each, grades + 1] - cdf[each, grades]).mean() + 0.005 * (weights.astype(float) ** 2).sum()
+
+    best = loss(model.weights, model.thresholds)
+    for scale in (0.8, 1.25):
+        assert loss(model.weights * np.float32(scale), model.thresholds) > best
+    for k in range(2):
+        for step in (-0.3, 0.3):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert loss(model.weights, moved) > best
+
+
 def test_odd_rows_and_columns(spark, docs, odd):
     labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int")
     df = docs(odd).withColumnRenamed("kept", "grade")
