@@ -38,7 +38,9 @@ CACHE_CHUNK = 64
 
 _SPACED = re.compile(r"(?<=\S) (?=\S)")
 #: First characters of cache keys: start of the text, a line break before, the key spelt out.
-_HEAD, _LINE, _WHOLE = "\x02", "\x01", "\x03"
+HEAD, LINE, WHOLE = "\x02", "\x01", "\x03"
+#: Texts for the careful split: white space but single spaces and line breaks inside, or the marks.
+UNEVEN = "[\\x00-\\x09\\x0b-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$|^$"
 
 
 def byte_chars() -> list[str]:
@@ -162,19 +164,27 @@ class _Chunks(dict):
 def unmarked(key: str) -> str:
     """The text that a cache key stands for; Spaced if it may not have been cut off there."""
     head = key[:1]
-    if head == _WHOLE:
+    if head == WHOLE:
         return key[1:]
-    body = key[1:] if head in (_HEAD, _LINE) else key
+    body = key[1:] if head in (HEAD, LINE) else key
     if body.split() != [body]:
         raise Spaced
-    return body if head == _HEAD else ("\n" if head == _LINE else " ") + body
+    return body if head == HEAD else ("\n" if head == LINE else " ") + body
 
 
 def plain_keys(text: str) -> list[str]:
     """The cache keys of a text by the quick split; none if the text has the marks themselves."""
-    if not text or _LINE in text or _HEAD in text or _WHOLE in text:
+    if not text or LINE in text or HEAD in text or WHOLE in text:
         return []
-    return (_HEAD + text.replace("\n", " " + _LINE)).split(" ")
+    return (HEAD + text.replace("\n", " " + LINE)).split(" ")
+
+
+def spaced_keys(text: str) -> list[str]:
+    """The cache keys of any text by the careful split; none of the empty text."""
+    if not text:
+        return []
+    first, *rest = _SPACED.split(text)
+    return [WHOLE + first, *(WHOLE + " " + w for w in rest)]
 
 
 def encode_with(cache: dict, text: str) -> bytes:
@@ -189,8 +199,7 @@ def encode_with(cache: dict, text: str) -> bytes:
             return b"".join(map(cache.__getitem__, keys))
         except Spaced:
             pass
-    first, *rest = _SPACED.split(text)
-    return b"".join(map(cache.__getitem__, [_WHOLE + first, *(_WHOLE + " " + w for w in rest)]))
+    return b"".join(map(cache.__getitem__, spaced_keys(text)))
 
 
 _codecs: dict[int, Codec] = {}

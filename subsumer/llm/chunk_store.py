@@ -17,43 +17,47 @@ bodies don't move once more.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_CHUNK, Spaced, encode_with, plain_keys, unmarked
+from .bpe import HEAD, LINE, UNEVEN, WHOLE, spaced_keys, unmarked
 from .common import shared_dir, ship, slices, stage, text_of
 
 SHORTEST, LONGEST = 64, 1024  # identifiers in a chunk, but for a stream's last
 MASK = 0xFF  # a cut where these bits of the hash are zero
 ROLL = 8  # identifiers in the rolling hash
 NAME = 32
-TOGETHER = 256  # chunks in one string for the library
+TOGETHER = 64  # chunks in one string for the library
+END = 0  # identifier that ends a stream
 
 
 class Broken(RuntimeError):
     """What was read from the store is not what its names and roots say."""
 
 
-class LibraryChunks(dict):
-    """Chunk of a text -> its identifiers by the library, as little-endian 32-bit integers.
+class LibraryChunks:
+    """Texts -> identifiers by the library, each distinct chunk of a batch looked up or encoded once.
 
-    Chunks of many texts are encoded in few calls, set apart by a special token, at which the library
-    cuts before anything else.  When the cache is full it becomes the older half: chunks in use move
-    back, the others go the next time.
+    A text is cut at single spaces (and line breaks) between non-space characters, where a pre-token
+    always ends.  The identifiers of all chunks known so far lie in one pool; new chunks are encoded
+    many in a call, set apart by a special token, at which the library cuts before anything else.
     """
 
-    limit = 400_000  # of either half
+    entries = 900_000  # chunks, and the identifiers of their pool, kept from batch to batch
+    pool_size = 1 << 23
 
     def __init__(self, content: bytes):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
@@ -63,48 +67,88 @@ class LibraryChunks(dict):
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = min(special) if special else (None, None)
-        self.older: dict[str, bytes] = {}
-
-    def clear(self) -> None:
-        self.older = dict(self)
-        super().clear()
-
-    def fill(self, texts: list[str]) -> None:
-        """Encode the chunks of the texts that are not known yet."""
-        if self.mark is None:
-            return
-        keys: set[str] = set()
-        for text in texts:
-            keys.update(plain_keys(text))
-        wanted, bodies = [], []
-        for key in keys:
-            if key in self or len(key) > CACHE_CHUNK or self.mark in key:
-                continue
-            if key in self.older:
-                self[key] = self.older[key]
-                continue
-            try:
-                bodies.append(unmarked(key))
-                wanted.append(key)
-            except Spaced:
-                pass  # such a text is split with care later
-        joined = [self.mark.join(bodies[i : i + TOGETHER]) for i in range(0, len(bodies), TOGETHER)]
-        for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            own = wanted[k * TOGETHER : (k + 1) * TOGETHER]
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            raw, begin = ids.tobytes(), 0
-            for key, end in zip(own, ends, strict=True):
-                self[key] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = np.array(self.tokenizer.encode(unmarked(key), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(key) <= CACHE_CHUNK:
-            self[key] = found
-        return found
+        kind = json.loads(content)
+        pieces = kind.get("pre_tokenizer") or {}
+        self.spelt = None  # bytes of each identifier, where the vocabulary is one of bytes
+        if pieces.get("type") == "ByteLevel" and not pieces.get("add_prefix_space") and not kind.get("normalizer"):
+            self.spelt = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.spelt[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}  # of a chunk in begins and sizes
+        self.pool, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encode chunks not known yet: those that may follow each other in a text as they are, the
+        others set apart by a special token, and those that have that token in them one by one."""
+        bodies = dict(zip(keys, map(unmarked, keys), strict=True))
+        groups: list[list[str]] = [[], [], []]
+        for key, body in bodies.items():
+            groups[2 if self.mark is None or self.mark in body else 0 if self.spelt is not None and key[0] not in (HEAD, WHOLE) else 1].append(key)
+        pools, sizes, at = [self.pool], [self.sizes], len(self.pool)
+        for kind, group in enumerate(groups):
+            step = 1 if kind == 2 else TOGETHER
+            parts = [[bodies[key] for key in group[i : i + step]] for i in range(0, len(group), step)]
+            joined = [("" if kind == 0 else self.mark if kind == 1 else "").join(part) for part in parts]
+            for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.uint32)
+                if kind == 1:
+                    between = ids == self.mark_id
+                    ends = np.append(np.flatnonzero(between) - np.arange(between.sum()), len(ids) - between.sum())
+                    ids = ids[~between]
+                elif kind == 0:
+                    bytes_to = np.cumsum([len(body.encode()) for body in part])
+                    ends = np.searchsorted(np.cumsum(self.spelt[ids]), bytes_to) + 1
+                else:
+                    ends = np.array([len(ids)])
+                pools.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+        n = len(self.sizes)
+        self.place.update(zip((key for group in groups for key in group), range(n, n + len(keys)), strict=True))
+        self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all texts, each with the end identifier, joined; and each text's number of them."""
+        if len(self.place) > self.entries or len(self.pool) > self.pool_size:
+            self._forget()
+        odd = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False).astype(bool)
+        even = texts.take(pa.array(np.arange(len(texts)), mask=odd))
+        marked = pc.binary_join_element_wise(HEAD, pc.replace_substring(even, "\n", " " + LINE), "")
+        chunks = pc.split_pattern(marked, " ")
+        ends = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
+        coded = chunks.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        places = np.append(coded.indices.to_numpy(), 0)
+        odd = np.flatnonzero(odd)
+        careful = [spaced_keys(texts[k].as_py()) for k in odd.tolist()]
+        if careful:
+            keys = dict(zip(known, range(len(known)), strict=True))
+            for own in careful:
+                for key in own:
+                    keys.setdefault(key, len(keys))
+            known = list(keys)
+        of = np.fromiter(map(self.place.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            missing = [known[k] for k in new.tolist()]
+            self._learn(missing)
+            of[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(new))
+        begins, sizes = np.append(self.begins[of], 0), np.append(self.sizes[of], 0)
+        if careful:  # whose keys come from Python
+            counts, by_hand = np.diff(ends, prepend=0), np.zeros(len(texts), bool)
+            counts[odd], by_hand[odd] = [len(own) for own in careful], True
+            rows, whole = np.repeat(by_hand, counts), np.empty(counts.sum() + 1, np.int64)
+            whole[:-1][~rows] = places[:-1]
+            whole[:-1][rows] = np.fromiter((keys[key] for own in careful for key in own), np.int64)
+            places, ends = whole, np.cumsum(counts)
+        each = sizes[places[:-1]]
+        total = np.append(0, np.cumsum(each))
+        at = np.repeat(begins[places[:-1]] - total[:-1], each) + np.arange(total[-1])
+        ends = total[ends]
+        return np.insert(self.pool[at], ends, END), np.diff(ends, prepend=0) + 1
 
 
 _libraries: dict[int, LibraryChunks] = {}
@@ -192,12 +236,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, i
     def encode(batches):
         chunks = library(vocab.value)
         sent: set[bytes] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, 2000):
             recipes, names, bodies = [], [], []
-            texts = batch.column(1).to_pylist()
-            chunks.fill(texts)
-            streams = [encode_with(chunks, text) + bytes(4) for text in texts]
-            for ids, ends in cut_all(np.frombuffer(b"".join(streams), "<u4"), np.array([len(x) // 4 for x in streams])):
+            for ids, ends in cut_all(*chunks.encode(batch.column(1))):
                 body, recipe, begin = ids.astype(as_stored).tobytes(), [], 0
                 for end in ends:
                     part = body[begin * width : end * width]
@@ -246,11 +287,11 @@ def _once(batches):
     """Drop chunks whose name is the previous one's; recipes pass."""
     last = None
     for batch in batches:
-        keep = []
-        for name in batch.column(1).to_pylist():
-            keep.append(name is None or name != last)
-            last = name
-        yield batch.filter(pa.array(keep))
+        name = batch.column(1)
+        if len(name):
+            same = np.append(last is not None and name[0].is_valid and name[0].as_py() == last, pc.fill_null(pc.equal(name.slice(1), name.slice(0, len(name) - 1)), False).to_numpy(zero_copy_only=False))
+            last = name[len(name) - 1].as_py()
+            yield batch.filter(pa.array(~same.astype(bool)))
 
 
 def _placed(batches):
@@ -305,6 +346,23 @@ def combine_crc(first: int, second: int, n_bytes: int) -> int:
     return _times(_shift(n_bytes), first) ^ second
 
 
+_operators: list[np.ndarray] = []
+
+
+def shifted(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """Each CRC times x to the power of 8 n_bytes, modulo the polynomial: bit by bit of n_bytes, by tables."""
+    out = crcs.astype(np.uint32)
+    for bit in range(int(n_bytes.max(initial=0)).bit_length()):
+        if bit == len(_operators):
+            images = np.array([_times(_shift(1 << bit), 1 << i) for i in range(32)], np.uint32).reshape(4, 8)
+            of_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+            _operators.append(np.stack([np.bitwise_xor.reduce(np.where(of_bits, row, 0), axis=1) for row in images]).astype(np.uint32))
+        own = np.flatnonzero(n_bytes >> bit & 1)
+        v, table = out[own], _operators[bit]
+        out[own] = table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
+    return out
+
+
 def chunk_facts(store: Store, chunks: DataFrame) -> DataFrame:
     """(name, n, crc: of the identifiers as 32-bit integers) of chunks read, each checked against its name."""
     kind = f"<u{store.width}"
@@ -329,25 +387,27 @@ def _opened(spark: SparkSession, store: Store):
     return content, spark.read.parquet(f"{store.path}/recipes")
 
 
-def _checked(kind: str):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for identifier, n_ids, names, want, found in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6, 7)), strict=True):
-                if leaf(identifier, n_ids, names) != want:
-                    raise Broken(f"recipe of {identifier} has another leaf")
-                parts = sorted((f["at"], f["n"], f["crc"]) for f in found)
-                crc, total = 0, 0
-                for _, n, c in parts:
-                    crc, total = combine_crc(crc, c, 4 * n), total + n
-                if total != n_ids or len(parts) * NAME != len(names):
-                    raise Broken(f"recipe of {identifier} lacks chunks")
-                rows.append((total, crc))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(3), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-            )
-
-    return run
+def _checked(batches):
+    for batch in batches:
+        for identifier, n_ids, names, want in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6)), strict=True):
+            if leaf(identifier, n_ids, names) != want:
+                raise Broken(f"recipe of {identifier} has another leaf")
+        found = batch.column(7)
+        parts = found.flatten()
+        at, n, crc = (parts.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        each = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(each)), each)
+        order = np.lexsort((at, row))
+        n, crc = n[order], crc[order]
+        first = np.cumsum(each) - each
+        so_far = np.cumsum(n)
+        totals = np.add.reduceat(n, first)  # a recipe has a chunk at least, its end identifier's
+        after = np.repeat(so_far[first] - n[first] + totals, each) - so_far
+        crcs = np.bitwise_xor.reduceat(shifted(crc, 4 * after), first)
+        named = pc.binary_length(batch.column(5)).to_numpy(zero_copy_only=False)
+        if (totals != batch.column(4).to_numpy(zero_copy_only=False)).any() or (each * NAME != named).any():
+            raise Broken("a recipe lacks chunks")
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(totals), pa.array(crcs.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _uses(recipes: DataFrame) -> DataFrame:
@@ -378,7 +438,7 @@ def read_facts(spark: SparkSession, store: Store) -> DataFrame:
     used = _uses(recipes).join(chunk_facts(store, content), "name").groupBy("part", "place").agg(F.collect_list(F.struct("at", "n", "crc")).alias("found"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
     rows = recipes.join(used, ["part", "place"]).select("part", "place", "doc_id", "start", "n_ids", "names", "leaf", "found")
-    return rows.mapInArrow(_checked(kind), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(_checked, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, store: Store) -> DataFrame:

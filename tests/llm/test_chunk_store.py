@@ -16,6 +16,7 @@ def test_crc_of_joined_strings():
     for _ in range(50):
         a, b = rng.randbytes(rng.randint(0, 40)), rng.randbytes(rng.randint(0, 3000))
         assert C.combine_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        assert C.shifted(np.array([zlib.crc32(a)]), np.array([len(b)]))[0] ^ zlib.crc32(b) == zlib.crc32(a + b)
 
 
 def test_cuts_depend_on_content():
