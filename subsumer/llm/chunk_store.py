@@ -22,7 +22,7 @@ import os
 import uuid
 import zlib
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +65,10 @@ class LibraryChunks:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [(t.content, i) for i, t in added.items() if t.special]
         self.mark, self.mark_id = min(special) if special else (None, None)
+        self.added = [t.content.strip() or t.content for t in added.values()]
         kind = json.loads(content)
         pieces = kind.get("pre_tokenizer") or {}
         self.spelt = None  # bytes of each identifier, where the vocabulary is one of bytes
@@ -80,35 +82,59 @@ class LibraryChunks:
         self.place: dict[str, int] = {}  # of a chunk in begins and sizes
         self.pool, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode chunks not known yet: those that may follow each other in a text as they are, the
-        others set apart by a special token, and those that have that token in them one by one."""
-        bodies = dict(zip(keys, map(unmarked, keys), strict=True))
-        groups: list[list[str]] = [[], [], []]
-        for key, body in bodies.items():
-            groups[2 if self.mark is None or self.mark in body else 0 if self.spelt is not None and key[0] not in (HEAD, WHOLE) else 1].append(key)
-        pools, sizes, at = [self.pool], [self.sizes], len(self.pool)
-        for kind, group in enumerate(groups):
-            step = 1 if kind == 2 else TOGETHER
-            parts = [[bodies[key] for key in group[i : i + step]] for i in range(0, len(group), step)]
-            joined = [("" if kind == 0 else self.mark if kind == 1 else "").join(part) for part in parts]
-            for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
-                if kind == 1:
-                    between = ids == self.mark_id
-                    ends = np.append(np.flatnonzero(between) - np.arange(between.sum()), len(ids) - between.sum())
-                    ids = ids[~between]
-                elif kind == 0:
-                    bytes_to = np.cumsum([len(body.encode()) for body in part])
-                    ends = np.searchsorted(np.cumsum(self.spelt[ids]), bytes_to) + 1
-                else:
-                    ends = np.array([len(ids)])
+    def _learn(self, keys: list[str]) -> np.ndarray:
+        """Encode chunks not known yet and return their places: those that may follow each other in a text
+        as they are, the others set apart by a special token, and those that have a token of that kind in
+        them one by one."""
+        column = pa.array(keys, pa.large_string())
+        holds = [pc.match_substring(column, token) for token in self.added]
+        alone = np.logical_or.reduce([h.to_numpy(zero_copy_only=False) for h in holds]) if holds else np.zeros(len(keys), bool)
+        if self.mark is None:
+            alone[:] = True
+        lined, *apart = (pc.starts_with(column, mark).to_numpy(zero_copy_only=False).astype(bool) for mark in (LINE, HEAD, WHOLE))
+        follows = ~(alone | apart[0] | apart[1]) & (self.spelt is not None)
+        pools, sizes, order = [self.pool], [self.sizes], []
+
+        own = np.flatnonzero(follows)
+        if len(own):
+            own_keys = [keys[k] for k in own.tolist()]
+            parts = [own_keys[i : i + TOGETHER] for i in range(0, len(own_keys), TOGETHER)]
+            ids = self._library([(" " + " ".join(part)).replace(" " + LINE, "\n") for part in parts])
+            length = pc.binary_length(column).to_numpy()[own] + np.where(lined[own], 1 - len(LINE.encode()), 1)
+            ends, bytes_to = np.cumsum(self.spelt[ids]), np.cumsum(length)
+            places = np.searchsorted(ends, bytes_to)
+            if len(ends) and ends[-1] == bytes_to[-1] and (ends[places] == bytes_to).all():
                 pools.append(ids)
-                sizes.append(np.diff(ends, prepend=0))
-        n = len(self.sizes)
-        self.place.update(zip((key for group in groups for key in group), range(n, n + len(keys)), strict=True))
+                sizes.append(np.diff(places, prepend=-1))
+                order.append(own)
+            else:  # identifiers that don't spell the text
+                alone |= follows
+        own = np.flatnonzero(~(alone | follows))
+        if len(own):
+            bodies = [unmarked(keys[k]) for k in own.tolist()]
+            ids = self._library([self.mark.join(bodies[i : i + TOGETHER]) + self.mark for i in range(0, len(bodies), TOGETHER)])
+            between = ids == self.mark_id
+            pools.append(ids[~between])
+            sizes.append(np.diff(np.flatnonzero(between), prepend=-1) - 1)
+            order.append(own)
+        own = np.flatnonzero(alone)
+        if len(own):
+            found = [self._library([unmarked(keys[k])]) for k in own.tolist()]
+            pools += found
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            order.append(own)
+
+        places = np.empty(len(keys), np.int64)
+        places[np.concatenate(order)] = np.arange(len(self.sizes), len(self.sizes) + len(keys))
+        self.place.update(zip(keys, places.tolist(), strict=True))
         self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
         self.begins = np.cumsum(self.sizes) - self.sizes
+        return places
+
+    def _library(self, texts: list[str]) -> np.ndarray:
+        """Identifiers of all texts, joined."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all texts, each with the end identifier, joined; and each text's number of them."""
@@ -120,7 +146,7 @@ class LibraryChunks:
         chunks = pc.split_pattern(marked, " ")
         ends = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
         coded = chunks.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         places = np.append(coded.indices.to_numpy(), 0)
         odd = np.flatnonzero(odd)
         careful = [spaced_keys(texts[k].as_py()) for k in odd.tolist()]
@@ -133,9 +159,7 @@ class LibraryChunks:
         of = np.fromiter(map(self.place.get, known, repeat(-1)), np.int64, len(known))
         new = np.flatnonzero(of < 0)
         if len(new):
-            missing = [known[k] for k in new.tolist()]
-            self._learn(missing)
-            of[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(new))
+            of[new] = self._learn([known[k] for k in new.tolist()])
         begins, sizes = np.append(self.begins[of], 0), np.append(self.sizes[of], 0)
         if careful:  # whose keys come from Python
             counts, by_hand = np.diff(ends, prepend=0), np.zeros(len(texts), bool)
@@ -146,7 +170,8 @@ class LibraryChunks:
             places, ends = whole, np.cumsum(counts)
         each = sizes[places[:-1]]
         total = np.append(0, np.cumsum(each))
-        at = np.repeat(begins[places[:-1]] - total[:-1], each) + np.arange(total[-1])
+        at = np.repeat((begins[places[:-1]] - total[:-1]).astype(np.int32), each)
+        at += np.arange(total[-1], dtype=np.int32)  # the pool and a batch have fewer than 2**31 identifiers
         ends = total[ends]
         return np.insert(self.pool[at], ends, END), np.diff(ends, prepend=0) + 1
 
