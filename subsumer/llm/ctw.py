@@ -454,6 +454,8 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     tops = by_context.groupBy("part").applyInArrow(_tops(depth), "c1 long, node long, n0 long, n1 long, below double")
     nodes = tops.groupBy("c1", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toArrow()  # 65,280 rows at most
     upper = spark.sparkContext.broadcast(Upper(*(nodes.column(i).to_numpy() for i in range(5))))
+    del tops
+    release(spark)
     logp = by_context.groupBy("part").applyInArrow(_scored(depth, upper), "gram long, logp double")
     logp = logp.mapInArrow(_with_bucket(buckets), "bucket long, gram long, logp double")
     with small_batches(spark):
