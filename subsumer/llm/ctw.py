@@ -95,6 +95,17 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, sorted."""
+    keys = np.sort(keys)
+    return keys[cuts(keys)]
+
+
+def by_bucket(place: np.ndarray, buckets: int) -> np.ndarray:
+    """A stable order by bucket; short numbers are sorted by their digits."""
+    return np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
+
+
 # ------------------------------------------------------------------------------------------- tree
 
 
@@ -265,36 +276,49 @@ class Own:
 
     def __init__(self, table: pa.Table, depth: int, buckets: int, counting: bool):
         self.held_out = table["held_out"].to_numpy()
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for places, found, begins in _pieces(_texts(table), depth):
-            learnt = np.repeat(~self.held_out[places], np.diff([*begins, len(found)])) if counting else np.ones(len(found), bool)
-            for part, weight in ((found[learnt], 1), (found[~learnt], 0)):
-                own = np.sort(part)
-                at = cuts(own)
-                keys.append(own[at])
-                counts.append(np.diff(np.append(at, len(own))) * weight)
-            if len(keys) > 16:
-                keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
-        keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
+        keys, counts = self._counted(table, depth) if counting else (self._named(table, depth), None)
         place = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        self.keys, self.counts, self.bucket = keys[order], counts[order], place[order]
+        order = by_bucket(place, buckets)
+        self.keys, self.bucket = keys[order], place[order]
+        if counting:
+            self.counts = counts[order]
 
         split = pc.ascii_split_whitespace(table["text"].combine_chunks())
         words, of = split.flatten(), pc.list_parent_indices(split).to_numpy()
         real = pc.greater(pc.binary_length(words), 0)
         coded = words.filter(real).cast(pa.large_binary()).dictionary_encode()
         self.text = of[real.to_numpy(zero_copy_only=False)]  # of each occurrence
-        distinct = coded.dictionary
-        place = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
-        order = np.argsort(place, kind="stable")
-        self.words, self.word_bucket = distinct.take(pa.array(order)), place[order]
+        words = coded.dictionary
+        place = np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % buckets
+        order = by_bucket(place, buckets)
+        self.words, self.word_bucket = words.take(pa.array(order)), place[order]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.word = back[coded.indices.to_numpy()]  # of each occurrence
         if counting:
             self.word_counts = np.bincount(self.word[~self.held_out[self.text]], minlength=len(order))
 
+    def _counted(self, table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for places, found, begins in _pieces(_texts(table), depth):
+            learnt = np.repeat(~self.held_out[places], np.diff([*begins, len(found)]))
+            for part, weight in ((found[learnt], 1), (found[~learnt], 0)):
+                own = np.sort(part)
+                at = cuts(own)
+                keys.append(own[at])
+                counts.append(np.diff(np.append(at, len(own))) * weight)
+            if len(keys) > 16:
+                keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts)))
+        return summed(np.concatenate(keys), np.concatenate(counts))
+
+    def _named(self, table: pa.Table, depth: int) -> np.ndarray:
+        keys = [np.zeros(0, np.uint64)]
+        for _, found, _ in _pieces(_texts(table), depth):
+            keys.append(distinct(found))
+            if len(keys) > 8:
+                keys = [distinct(np.concatenate(keys))]
+        return distinct(np.concatenate(keys))
+
 
 def _bucketed(buckets: int, depth: int):
     """A block -> cells of its grams (kind 0) and words (kind 1) with their counts in training texts; its totals (kind 2)."""
