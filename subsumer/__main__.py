@@ -17,6 +17,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("folder", help="folder of the tables, in any store that Spark reads")
     p.add_argument("--parquet", nargs="+", metavar="TABLE", help="read <folder>/<TABLE>.parquet instead of delimited files")
     p.add_argument("--preset", choices=sorted(PRESETS), help="dialect and tables of a known corpus")
+    p.add_argument("--tables", nargs="+", metavar="TABLE", help="read these delimited files only (names without ending)")
     p.add_argument("--separator", default=",")
     p.add_argument("--no-header", action="store_true")
     p.add_argument("--null-string", default="")
@@ -36,9 +37,9 @@ def main(args: list[str] | None = None) -> None:
     if a.parquet:
         tables = from_parquet(spark, a.folder, a.parquet)
     elif a.preset:
-        tables = read_preset(spark, a.preset, a.folder)
+        tables = read_preset(spark, a.preset, a.folder, a.tables)
     else:
-        tables = from_folder(spark, a.folder, Dialect(separator=a.separator, header=not a.no_header, null_string=a.null_string, multi_line=not a.single_line))
+        tables = from_folder(spark, a.folder, Dialect(separator=a.separator, header=not a.no_header, null_string=a.null_string, multi_line=not a.single_line), a.tables)
     config = DiscoveryConfig(a.threshold, a.max_nary, Nulls(a.nulls), Duplicates(a.duplicates), a.null_string, a.name)
     found = discover(tables, config)
     if a.out:

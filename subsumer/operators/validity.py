@@ -15,13 +15,24 @@ def with_caps(stats: DataFrame, config: DiscoveryConfig) -> DataFrame:
     return sized.withColumn("cap", cap_of(F.col("size"), config.threshold))
 
 
-def violations(candidates: DataFrame, stats: DataFrame, shared: DataFrame, config: DiscoveryConfig) -> DataFrame:
-    """(dep_id, ref_id, size, cap, viol) of each candidate that the null mode lets through.
+def shared_or_free(shared: DataFrame, stats: DataFrame, config: DiscoveryConfig) -> DataFrame:
+    """(dep_id, ref_id, n, keys) of the single-column pairs that can hold, in place of all ordered pairs:
+    those that share a key, and those without whose dependent side may be violated by all its rows."""
+    most = F.col("size") + (F.col("n_null") if config.nulls is Nulls.INEQUALITY else F.lit(0))
+    free = with_caps(stats, config).filter(most <= F.col("cap")).select(F.col("attr_id").alias("dep_id"))
+    pairs = free.crossJoin(stats.select(F.col("attr_id").alias("ref_id"))).filter("dep_id <> ref_id")  # which hold, but for null modes
+    rest = pairs.join(shared, ["dep_id", "ref_id"], "left_anti")
+    return shared.select("dep_id", "ref_id", "n", "keys").union(rest.select("dep_id", "ref_id", F.lit(0).cast("long"), F.lit(0).cast("long")))
 
-    Shared keys are counted and taken from the size, so a candidate without any stays.
+
+def violations(pairs: DataFrame, stats: DataFrame, config: DiscoveryConfig) -> DataFrame:
+    """(dep_id, ref_id, size, cap, viol) of each pair (with n and keys shared, null: none) that the null
+    mode lets through.
+
+    Shared keys are counted and taken from the size, so a pair without any stays.
     """
     deps = with_caps(stats, config).select(F.col("attr_id").alias("dep_id"), "size", "cap", F.col("n_null").alias("dep_nulls"))
-    joined = candidates.join(deps, "dep_id").join(shared, ["dep_id", "ref_id"], "left")
+    joined = pairs.join(deps, "dep_id")
     counted = F.coalesce(F.col("n") if config.duplicates is Duplicates.AWARE else F.col("keys"), F.lit(0))
     found = F.col("size") - counted
     if config.nulls is Nulls.INEQUALITY:

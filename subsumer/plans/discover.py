@@ -19,7 +19,8 @@ from .staging import discard, stage
 
 @dataclass
 class Layer:
-    """Tables of one arity: attributes with statistics, candidates with counts, those that hold."""
+    """Tables of one arity: attributes with statistics, candidates with counts (on the first layer only
+    those that can hold, unless all are asked for), those that hold."""
 
     arity: int
     stats: DataFrame
@@ -70,22 +71,25 @@ def layer_signatures(keys: list[DataFrame]) -> DataFrame:
     return K.signatures(K.value_groups(K.value_counts(reduce(DataFrame.union, keys))))
 
 
-def judged(arity: int, attrs: DataFrame, n_attributes: int, candidates: DataFrame, n_candidates: int, keys: list[DataFrame], config: DiscoveryConfig, began: float) -> Layer:
-    """One pass over the data for the signatures; the rest is over attributes."""
+def judged(arity: int, attrs: DataFrame, n_attributes: int, candidates: DataFrame | None, n_candidates: int, keys: list[DataFrame], config: DiscoveryConfig, began: float) -> Layer:
+    """One pass over the data for the signatures; the rest is over attributes.  Without candidates: all
+    ordered pairs are, of which only those that can hold are counted."""
     sigs = stage(layer_signatures(keys), f"signatures{arity}")
     stats = stage(K.attribute_stats(attrs, sigs), f"stats{arity}")
     shared = K.overlaps(sigs) if arity == 1 else K.overlaps_of(sigs, candidates)
-    counted = stage(V.violations(candidates, stats, shared, config), f"counted{arity}")
+    pairs = V.shared_or_free(shared, stats, config) if candidates is None else candidates.join(shared, ["dep_id", "ref_id"], "left")
+    counted = stage(V.violations(pairs, stats, config), f"counted{arity}")
     discard(sigs)
     held = V.valid(counted, config)
     return Layer(arity, stats, counted, held, n_attributes, n_candidates, held.count(), time.monotonic() - began)
 
 
-def first_layer(spark: SparkSession, relations: list[Relation], config: DiscoveryConfig) -> Layer:
+def first_layer(spark: SparkSession, relations: list[Relation], config: DiscoveryConfig, every: bool = False) -> Layer:
+    """every: count all ordered pairs, also those that share no key."""
     began = time.monotonic()
     attrs = attribute_catalog(spark, relations).select("attr_id", "rel_id", "cols")
     n = sum(len(r.columns) for r in relations)
-    return judged(1, attrs, n, C.unary_candidates(attrs), n * (n - 1), [K.unary_keys(r, config) for r in relations], config, began)
+    return judged(1, attrs, n, C.unary_candidates(attrs) if every else None, n * (n - 1), [K.unary_keys(r, config) for r in relations], config, began)
 
 
 def next_layer(layer: Layer, index: DataFrame, relations: list[Relation], config: DiscoveryConfig) -> Layer | None:

@@ -19,7 +19,7 @@ def nested(found: Discovery) -> DataFrame:
 def write(found: Discovery, folder: str) -> None:
     """<folder>/pinds: one JSON document a layer and relation, by layer; <folder>/run: the run's figures."""
     nested(found).write.mode("overwrite").partitionBy("layer").json(f"{folder}/pinds")
-    config = found.config
+    config, spark = found.config, found.relations[0].df.sparkSession
     run = found.summary().withColumns(
         {
             "name": F.lit(config.name),
@@ -28,6 +28,12 @@ def write(found: Discovery, folder: str) -> None:
             "nulls": F.lit(config.nulls.value),
             "duplicates": F.lit(config.duplicates.value),
             "relations": F.lit(len(found.relations)),
+            "total_attributes": F.lit(sum(len(r.columns) for r in found.relations)),
+            "total_unary": F.lit(sum(x.n_valid for x in found.layers if x.arity == 1)),
+            "total_nary": F.lit(sum(x.n_valid for x in found.layers if x.arity > 1)),
+            "total_seconds": F.lit(sum(x.seconds for x in found.layers)),
+            "parallelism": F.lit(spark.sparkContext.defaultParallelism),
+            "shuffle_partitions": F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))),
         }
     )
     run.write.mode("overwrite").json(f"{folder}/run")

@@ -164,9 +164,9 @@ def named(spark, relations, df, sides):
     return df
 
 
-def unary(spark, sf_dir, config=DiscoveryConfig(), own=None):
+def unary(spark, sf_dir, config=DiscoveryConfig(), own=None, every=False):
     relations = relations_of(own or tables(spark, sf_dir))
-    return relations, first_layer(spark, relations, config)
+    return relations, first_layer(spark, relations, config, every)
 
 
 def unary_held(config, own=None):
@@ -179,7 +179,7 @@ def unary_held(config, own=None):
 
 def unary_counted(config):
     def query(spark, sf_dir):
-        relations, layer = unary(spark, sf_dir, config)
+        relations, layer = unary(spark, sf_dir, config, every=True)
         return named(spark, relations, layer.counted, {"dep_id": "dep", "ref_id": "ref"}).select("dep", "ref", "viol")
 
     return query

@@ -67,6 +67,7 @@ def list_folder(spark: SparkSession, folder: str) -> dict[str, str]:
     return {n.rpartition(".")[0] or n: f"{folder.rstrip('/')}/{n}" for n in sorted(names) if n[:1] not in "._"}
 
 
-def from_folder(spark: SparkSession, folder: str, dialect: Dialect = Dialect()) -> dict[str, DataFrame]:
-    """Every file of a folder as a relation."""
-    return {n: read_delimited(spark, p, dialect) for n, p in list_folder(spark, folder).items()}
+def from_folder(spark: SparkSession, folder: str, dialect: Dialect = Dialect(), tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """Every file of a folder as a relation, or those named."""
+    paths = list_folder(spark, folder)
+    return {n: read_delimited(spark, paths[n], dialect) for n in tables or paths}

@@ -87,6 +87,23 @@ def test_a_value_that_very_many_columns_share(spark):
     assert (layer.n_candidates, layer.n_valid) == (120 * 119, 120 * 119)
 
 
+def test_pairs_that_share_nothing_are_not_written(spark):
+    """A catalogue of 5,000 columns has 25 million ordered pairs, of which six share a key."""
+    n = 1000
+    tables = {f"t{k}": spark.createDataFrame([tuple("1" if i == 7 and k < 3 else f"{k}-{i}" for i in range(n))], ", ".join(f"c{i} string" for i in range(n))) for k in range(5)}
+    layer = discover(tables, DiscoveryConfig(max_nary=1)).layers[0]
+    assert (layer.n_candidates, layer.n_valid, layer.counted.count()) == (5000 * 4999, 6, 6)
+
+
+@pytest.mark.parametrize("nulls", list(Nulls))
+@pytest.mark.parametrize("threshold", [1.0, 0.4, 0.0])
+def test_pairs_without_a_shared_key_that_hold(spark, nulls, threshold):
+    """Empty columns, and caps that cover a whole column."""
+    tables = {"a": (["x", "y", "z"], [("1", None, "5"), ("2", None, None)]), "b": (["p"], [("9",), (None,)]), "c": (["q"], [])}
+    for mode in Duplicates:
+        assert ours(spark, tables, threshold, nulls=nulls, duplicates=mode, max_nary=1) == brute.discover(tables, threshold, nulls.value, mode is Duplicates.AWARE, max_nary=1)
+
+
 def test_cap_is_truncated_and_degrees(spark):
     tables = {"g": (["k"], [(str(i),) for i in range(10)]), "h": (["k"], [(str(i),) for i in range(9)])}
     assert [r[1] for r in ours(spark, tables, 0.9)] == ["h.k"]

@@ -36,6 +36,14 @@ def test_presets(spark, tmp_path):
     assert list(read_preset(spark, "EU", str(tmp_path))) == ["one"]
 
 
+def test_tables_by_name(spark, tmp_path):
+    for name in ("vw", "audi", "stray"):
+        (tmp_path / f"{name}.csv").write_text("k\n1\n")
+    assert list(read_preset(spark, "CARS", str(tmp_path), ["vw"])) == ["vw"]
+    assert list(from_folder(spark, str(tmp_path), tables=["vw", "audi"])) == ["vw", "audi"]
+    assert [len(PRESETS[k].tables) for k in ("ANIMAL_CROSSING", "CARS", "DATA_GOV", "POPULATION", "WEB_TABLES")] == [30, 13, 16, 1, 5000]
+
+
 def test_reports(spark, tmp_path):
     tables = {"s": spark.createDataFrame([("1", "a")], "`x, y` string, z string"), "t": spark.createDataFrame([("1", "a")], "p string, q string")}
     found = discover(tables, DiscoveryConfig())
@@ -45,6 +53,7 @@ def test_reports(spark, tmp_path):
     write(found, str(tmp_path / "out"))
     lines = [json.loads(x) for p in (tmp_path / "out" / "run").glob("*.json") for x in p.read_text().splitlines()]
     assert sorted((x["layer"], x["valid"]) for x in lines) == [(1, 4), (2, 2)]
+    assert {(x["total_attributes"], x["total_unary"], x["total_nary"]) for x in lines} == {(4, 4, 2)}
 
 
 def test_command_line(spark, tmp_path, capsys):
