@@ -414,6 +414,11 @@ def payload_of(images: list[Image]) -> bytes:
     return b"".join(parts)
 
 
+def feature_of(images: list[Image]) -> str:
+    """"<width>x<height>:<thumbnail hash>" of each image, joined by "+"; a long payload has several."""
+    return "+".join(f"{x.width}x{x.height}:{average_hash(thumbnail(x))}" for x in images)
+
+
 # ------------------------------------------------------------------------------------- DataFrames
 
 
@@ -469,7 +474,8 @@ def read_back(media: DataFrame) -> DataFrame:
     """Decode what :func:`to_media` stored: payload digests, digest of the stored form, feature.
 
     Returns (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32: of the last 64 payload
-    bytes, media_bytes, media_sha256, feature: "<width>x<height>:<thumbnail hash>").
+    bytes, media_bytes, media_sha256, feature: see :func:`feature_of`), one row per input row; equal
+    texts, repeated rows among them, have equal values.
     """
 
     def run(batches):
@@ -480,9 +486,8 @@ def read_back(media: DataFrame) -> DataFrame:
                 if isinstance(images, Malformed):
                     raise images  # the store is broken: fail, don't guess
                 payload = payload_of(images)
-                first = images[0]
                 rows.append(
-                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(value), hashlib.sha256(value).hexdigest(), f"{first.width}x{first.height}:{average_hash(thumbnail(first))}")
+                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(value), hashlib.sha256(value).hexdigest(), feature_of(images))
                 )
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(

@@ -83,6 +83,15 @@ def test_colour_images(wide, high, restart):
     assert (jpeg.thumbnail(image) == np.clip(np.rint(planes[0] * 4 / 8 + 128), 0, 255)).all()
 
 
+def test_a_payload_of_several_images():
+    parts = [bytes(range(64)), bytes(reversed(range(128)))]
+    media = jpeg.encode_many(parts)
+    alone = [jpeg.decode_many([m])[0] for m in media]
+    images = jpeg.decode_many([b"".join(media)])[0]
+    assert jpeg.payload_of(images) == b"".join(parts)
+    assert jpeg.feature_of(images) == "+".join(map(jpeg.feature_of, alone))
+
+
 def test_rows(spark, docs, odd):
     got = {r.doc_id: r for r in jpeg.read_back(jpeg.to_media(docs([x for x in odd if x[0] != 1]))).collect()}
     for i, t in odd:
