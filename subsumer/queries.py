@@ -347,7 +347,7 @@ def nary_counted(config):
     def query(spark, sf_dir):
         relations = relations_of(with_pair_nulls(spark, sf_dir))
         first = first_layer(spark, relations, config)
-        second = next_layer(first, C.unary_index(first.valid, first.stats), relations, config)
+        second = next_layer(first, C.unary_index(first.valid, first.stats), relations, config, every=True)
         attrs = with_names(second.stats.select("attr_id", "rel_id", "cols"), names_of(spark, relations)).select("attr_id", "attr")
         return second.counted.join(attrs.toDF("dep_id", "dep"), "dep_id").join(attrs.toDF("ref_id", "ref"), "ref_id").select("dep", "ref", "size", "cap", "viol")
 

@@ -144,3 +144,41 @@ def test_empty_tables_and_limits(spark):
         discover({})
     with pytest.raises(ValueError, match="threshold"):
         DiscoveryConfig(1.5)
+
+
+@pytest.mark.parametrize(("nulls", "mode"), [(Nulls.SUBSET, Duplicates.AWARE), (Nulls.INEQUALITY, Duplicates.UNAWARE)])
+def test_keys_in_passes(spark, monkeypatch, nulls, mode):
+    """A pass for each part or few of the keys: results are the same, and refuted candidates leave early."""
+    from subsumer.operators import keys
+    from subsumer.plans import discover as plan
+
+    taken = []
+    asked = keys.nary_keys
+    monkeypatch.setattr(keys, "nary_keys", lambda relation, attrs, n, needed, config, parts: taken.append((relation.id, n, parts)) or asked(relation, attrs, n, needed, config, parts))
+    monkeypatch.setattr(keys, "PARTS", 4)
+    monkeypatch.setattr(plan, "KEYS_A_PASS", 80)
+    rng = random.Random(31)
+    rows = [(str(k), str(rng.randrange(9)), rng.choice(["u", "v", None])) for k in range(100)]
+    shuffled = [(a, rows[(k * 7) % 100][1], c) for k, (a, _, c) in enumerate(rows)]
+    tables = {"s": (["a", "b", "c"], rows[3:] + rows[5:20]), "t": (["p", "q", "r"], rows[:98]), "w": (["x", "y"], [r[:2] for r in shuffled])}
+    want = brute.discover(tables, 0.9, nulls.value, mode is Duplicates.AWARE, max_nary=2)
+    assert any(r[0] == 2 and r[5] > 0 for r in want)
+    assert ours(spark, tables, 0.9, nulls=nulls, duplicates=mode, max_nary=2) == want
+    last = {k: p for k, _, p in taken}
+    assert len({p for _, _, p in taken}) > 2
+    assert last[2] != last[1]  # pairs of w are refuted before the last pass
+
+
+@pytest.mark.parametrize("inline", [256, 0])
+def test_each_key_is_of_one_part(spark, monkeypatch, inline):
+    from subsumer.operators import keys
+    from subsumer.operators.catalog import relations_of
+
+    monkeypatch.setattr(keys, "INLINE_ATTRIBUTES", inline)
+    table = spark.createDataFrame([(str(k % 40), None if k % 7 == 0 else str(k % 3)) for k in range(300)], "a string, b string")
+    relation = relations_of({"t": table})[0]
+    attrs = spark.createDataFrame([(0, 0, [0, 1]), (1, 0, [1, 0])], "attr_id long, rel_id int, cols array<int>")
+    rows = lambda parts: sorted(map(repr, keys.nary_keys(relation, attrs, 2, {0, 1}, DiscoveryConfig(), parts).collect()))
+    some = [rows(range(k, k + 12)) for k in range(0, keys.PARTS, 12)]
+    assert sorted(sum(some, [])) == rows(range(keys.PARTS))
+    assert all(some) and not any(set(x) & set(y) for k, x in enumerate(some) for y in some[:k])
