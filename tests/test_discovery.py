@@ -182,3 +182,16 @@ def test_each_key_is_of_one_part(spark, monkeypatch, inline):
     some = [rows(range(k, k + 12)) for k in range(0, keys.PARTS, 12)]
     assert sorted(sum(some, [])) == rows(range(keys.PARTS))
     assert all(some) and not any(set(x) & set(y) for k, x in enumerate(some) for y in some[:k])
+
+
+def test_the_summary_counts_what_passes_refute(spark, monkeypatch):
+    """Attributes and candidates of a layer are all of them, also those that leave before the last pass."""
+    from subsumer.plans import discover as plan
+
+    rows = [(str(k), str(k * 7 % 60)) for k in range(60)]
+    tables = {"s": (["a", "b"], rows), "t": (["p", "q"], [(a, rows[(k + 1) % 60][1]) for k, (a, _) in enumerate(rows)])}
+    counts = lambda: [tuple(r)[:4] for r in discover(frames(spark, tables), DiscoveryConfig(0.9, max_nary=2)).summary().collect()]
+    whole = counts()
+    monkeypatch.setattr(plan, "KEYS_A_PASS", 150)
+    assert counts() == whole
+    assert whole[1][1:] == (4, 4, 0)
