@@ -198,7 +198,7 @@ def test_the_summary_counts_what_passes_refute(spark, monkeypatch):
     assert whole[1][1:] == (4, 4, 0)
 
 
-@pytest.mark.parametrize("mode", [Duplicates.AWARE])
+@pytest.mark.parametrize("mode", [Duplicates.AWARE, Duplicates.UNAWARE])
 def test_a_pass_shuffles_no_more_than_asked(spark, monkeypatch, mode):
     """Keys that every task has anew are as many rows of a shuffle, however few distinct ones there are."""
     from subsumer.operators import keys
