@@ -47,7 +47,10 @@ def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
 
 def fingerprint(raw: bytes, size: int) -> int:
     """Signed 64-bit SimHash: a bit is 1 if it is set in over half of the shingle hashes."""
-    hashes = shingle_hashes(raw, size)
+    return fingerprint_of(shingle_hashes(raw, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(0, dtype=np.uint32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
@@ -265,13 +268,17 @@ def _prefixes(size: int, similarity: float, common):
         hashes, ranks = common.value
         for batch in slices(batches):
             # texts without words are alike: one shingle that stands for none
-            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column(1).cast(pa.binary())]
+            sets, fps = [], []
+            for t in batch.column(1).cast(pa.binary()):
+                found = shingle_hashes(t.as_py(), size)
+                fps.append(fingerprint_of(found))
+                sets.append(np.unique(found))
             sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
             words = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), np.int64)
             keys = pa.array([prefix(s, similarity, hashes, ranks).view(np.int64) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
             wide = pa.array([sketch(s, WIDE) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(words[:, k]) for k in range(SKETCH)), wide, keys], ["node", "n", *(f"w{k}" for k in range(SKETCH)), "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(words[:, k]) for k in range(SKETCH)), wide, pa.array(fps, pa.int64()), keys], ["node", "n", *(f"w{k}" for k in range(SKETCH)), "wide", "fp", "keys"])
 
     return run
 
@@ -363,14 +370,17 @@ def _shingle_sets(size: int):
     return run
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 2, bands: int = 4) -> DataFrame:
     """Groups of texts linked by a Jaccard similarity of word-shingle sets of ``similarity`` or more.
 
-    The search loses no pair: two such sets share some of their rarest shingles (prefix filter), also
+    First come the SimHash fingerprints of all texts and their links within ``k`` bits, through the
+    tables of distances to pivots (``links``), each verified on the whole sets.  Alike texts may be
+    more bits apart, so the rest, pairs that are not of one group by then, is searched exactly.
+    That search loses no pair: two such sets share some of their rarest shingles (prefix filter), also
     after each has left out those of its keys that most texts have (fewer, for both, than they share),
     and pairs are discarded only by their sizes, the places of the shared shingle and the bits in which
-    their sketches differ, all of which bound the shingles they share.  First each text is compared
-    with the least node of each of its keys, then with random nodes of keys that still have several
+    their sketches differ, all of which bound the shingles they share.  There each text is compared
+    first with the least node of each of its keys, then with random nodes of keys that still have several
     groups; then all pairs that are not in one group yet, where keys of many nodes are compared by
     pairs of blocks.  Every link is verified on the whole sets.
 
@@ -383,7 +393,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, size))
     names = [f"w{k}" for k in range(SKETCH)]
     longs = ", ".join(f"{w} long" for w in names)
-    sets = stage(rows.mapInArrow(_prefixes(size, similarity, common), f"node long, n long, {longs}, wide array<long>, keys array<long>"), "prefixes")
+    sets = stage(rows.mapInArrow(_prefixes(size, similarity, common), f"node long, n long, {longs}, wide array<long>, fp long, keys array<long>"), "prefixes")
     keyed = sets.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
     shape = "key long, node long, n long, place long, first long, members long"
     every = stage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, shape), "shared")
@@ -393,7 +403,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     left_out = F.floor((F.col("n") * SPARE - 1) * F.lit(similarity / (1 + similarity)))
     shared = stage(every.withColumn("rank", F.row_number().over(common_first)).filter(F.col("rank") > left_out).drop("rank"), "shared")
     discard(every)
-    bits = sets.drop("keys", "wide").distinct()
+    bits = sets.drop("keys", "wide", "fp").distinct()
 
     def ends(some: DataFrame, of, table: DataFrame) -> DataFrame:
         """Pairs with a column of both nodes, as s and t; ``of`` makes the column from the nodes' rows."""
@@ -412,21 +422,31 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
         discard(near)
         return found
 
+    def grouped(roots: DataFrame) -> DataFrame:
+        named = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("root", "group")
+        return bits.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+    classes = stage(sets.groupBy("fp").agg(F.min("node").alias("first")), "classes")
+    equal = sets.select("fp", "node").distinct().join(classes, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = links(classes, k, bands).distinct().join(classes.toDF("a", "s"), "a").join(classes.toDF("b", "t"), "b").select(F.least("s", "t"), F.greatest("s", "t"))
+    near = stage(equal.union(close), "close")
+    by_print = verified(near)
+    discard(classes, near)
+    release(docs.sparkSession)
+    roots = components(by_print)
     stars = shared.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    left = bits.select(F.col("node").alias("a"), F.col("n").alias("m"), *(F.col(w).alias(f"x{k}") for k, w in enumerate(names)))
-    right = bits.select(F.col("node").alias("b"), "n", *(F.col(w).alias(f"y{k}") for k, w in enumerate(names)))
+    left = grouped(roots).select(F.col("node").alias("a"), F.col("group").alias("g"), F.col("n").alias("m"), *(F.col(w).alias(f"x{k}") for k, w in enumerate(names)))
+    right = grouped(roots).select(F.col("node").alias("b"), F.col("group").alias("h"), "n", *(F.col(w).alias(f"y{k}") for k, w in enumerate(names)))
     apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(SKETCH)), F.lit(0))
     most = (F.col("m") + F.col("n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    stars = stars.join(left, "a").join(right, "b").filter((apart <= most) & (F.abs(F.col("m") - F.col("n")) <= most)).select("a", "b")
+    stars = stars.join(left, "a").join(right, "b").filter("g <> h").filter((apart <= most) & (F.abs(F.col("m") - F.col("n")) <= most)).select("a", "b")
     stars = stage(stars, "stars")
     first = verified(stars)
-    discard(stars)
+    discard(stars, roots)
     release(docs.sparkSession)
-    found, roots, told = [first], components(first), F.struct("node", "group", "n", *names)
+    found, roots, told = [by_print, first], components(by_print.union(first)), F.struct("node", "group", "n", *names)
     for salt in range(STARS + 1):
-        named = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("root", "group")
-        grouped = bits.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        open_rows = stage(shared.drop("first", "n").join(grouped, "node"), "open")
+        open_rows = stage(shared.drop("first", "n").join(grouped(roots), "node"), "open")
         centre = F.min_by(told, F.xxhash64("node", "key", F.lit(salt))).alias("c")
         mixed = open_rows.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h"), centre).filter("g <> h")
         if salt == STARS:

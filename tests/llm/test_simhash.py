@@ -159,3 +159,26 @@ def test_no_pair_at_the_threshold_is_lost(spark, docs, odd):
     assert found_groups(spark, docs, rows) == want
     named = [(5000 + k, t or "") for k, (i, t) in enumerate(odd)]
     assert found_groups(spark, docs, named) == brute_groups(named)
+
+
+def test_near_copies_come_by_fingerprint(spark, docs, monkeypatch):
+    """Without the exact search of the rest, alike texts within two bits are still found."""
+
+    def nothing(batches):
+        for batch in batches:
+            yield from ()
+
+    monkeypatch.setattr(S, "_shared", nothing)
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for g in range(30):
+        text = rng.choices(words, k=400)
+        rows += [(10 * g + k, " ".join([*text, *rng.choices(words, k=3 * k)])) for k in range(4)]
+    sets = {i: set(S.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    prints = {i: plain_fingerprint(t, 5) for i, t in rows}
+    root = classes(sorted(sets), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    sizes = Counter(root.values())
+    want = {i: r for i, r in root.items() if sizes[r] > 1}
+    assert len(set(want.values())) > 5
+    assert found_groups(spark, docs, rows) == want
